@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["frequency", "distinctive", "topn"]
+_MODULES = ["frequency", "neardup", "distinctive", "topn", "encode", "packing"]
 
 
 def queries() -> dict:
