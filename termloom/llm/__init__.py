@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["frequency", "neardup", "distinctive", "sentences", "topn", "encode", "packing", "garbled"]
+_MODULES = ["frequency", "neardup", "distinctive", "sentences", "markup", "topn", "encode", "packing", "garbled"]
 
 
 def queries() -> dict:

@@ -264,6 +264,8 @@ def restore(s: str, m: Model, source: str | None, rounds: int = 6) -> tuple[str,
                 if sums is None:
                     sums = m.sums(s)
                 g = m.gains(s, sums, runs)
+                if family == "utf8":  # that characters happen to form whole sequences is evidence of its own
+                    g = g + 2.0 * np.array([len(new) for _, _, new in runs])
                 evidence = g[g > 0].sum()
                 keep = g > (-6 if evidence > 10 and family == "utf8" else 0)
                 total = float(g[keep].sum()) + max(m.odds(source, h), -5)
