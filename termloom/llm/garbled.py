@@ -59,7 +59,15 @@ def cipher(read: str, wrote: str) -> dict[int, str]:
             out[ord(c)] = bytes([b]).decode(wrote)
         except UnicodeDecodeError:
             pass
-    return {k: v for k, v in out.items() if chr(k) != v}
+    return {k: v for k, v in out.items() if chr(k) != v and len(v) == 1}
+
+
+@lru_cache(maxsize=None)
+def cipher_codes(read: str, wrote: str) -> np.ndarray:
+    out = np.arange(0x10000, dtype=np.uint32)
+    for k, v in cipher(read, wrote).items():
+        out[k] = ord(v)
+    return out
 
 
 _HIGH = re.compile(_set(byte_of("latin")) + "{4,}")
@@ -115,9 +123,8 @@ class Model:
     def odds(self, source: str | None, h: int) -> float:
         return self.prior.get((source, h), self.prior[None, h])
 
-    def steps(self, s: str) -> np.ndarray:
-        """Log probability of every character after the first."""
-        x = _codes(s)
+    def steps(self, x: np.ndarray) -> np.ndarray:
+        """Log probability of every character code after the first."""
         k = class_of()[x]
         at = self.slot[k]
         out = self.log[at[:-1], at[1:]].astype(np.float64)
@@ -128,7 +135,12 @@ class Model:
 
     def sums(self, s: str) -> np.ndarray:
         """sums[b + 1] - sums[a]: log probability of s[a:b] and of what follows it, given what stands before."""
-        return np.concatenate([[0.0], np.cumsum(self.steps("\n" + s + "\n"))])
+        return self.code_sums(_codes("\n" + s + "\n"))
+
+    def code_sums(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        np.cumsum(self.steps(x), out=out[1:])
+        return out
 
     def gains(self, s: str, sums: np.ndarray, runs: list[tuple[int, int, str]]) -> np.ndarray:
         """How much likelier the text gets by each (begin, end, new), all of them put in."""
@@ -174,6 +186,8 @@ def _utf8(s: str, chars: set[str]):
         pattern, lead, rest = utf8_runs(page)
         if not (lead & chars and rest & chars):
             continue
+        if page in ("cp1250", "cp1254") and not chars & (lead - utf8_runs("latin")[1]):
+            continue  # reads as latin does
         of, runs = byte_of(page), []
         for r in pattern.finditer(s):
             try:
@@ -209,25 +223,22 @@ _SWAP_SIGNS = re.compile(r"[а-яё][А-ЯЁ]|[А-ЯЁ]{2}|[Ѐ-Џѐѓѕѓєѕі
 
 def _swapped(s: str, m: Model, sums: np.ndarray, chars: set[str]):
     """(swap, runs) of substitution ciphers: neighbouring tokens on which the swap gains, joined while their sum lasts."""
-    if not _SWAP_SIGNS.search(s):
-        return
     tokens = [(t.start(), t.end()) for t in _TOKEN.finditer(s) if not t.group().isascii()]
     codes = {ord(c) for c in chars}
+    x = _codes("\n" + s + "\n")
+    low = np.minimum(x, 0xFFFF)
     for h, (read, wrote) in enumerate(SWAPS):
         key = cipher(read, wrote)
         if not tokens or not codes & key.keys():
             continue
-        new = s.translate(key)
-        if len(new) != len(s):
-            continue
-        diff = m.sums(new) - sums
+        diff = m.code_sums(np.where(x > 0xFFFF, x, cipher_codes(read, wrote)[low])) - sums
         runs: list[tuple[int, int, str]] = []
         start, stop, total, top = 0, 0, 0.0, 0.0
         for b, e in [*tokens, (0, 0)]:
             g = float(diff[e + 1] - diff[b]) if e else -1e9
             if top > 0 and total + g < max(0.0, top - 12):
                 if top > 6 and stop - start > 2:
-                    runs.append((start, stop, new[start:stop]))
+                    runs.append((start, stop, s[start:stop].translate(key)))
                 total = top = 0.0
             if total <= 0:
                 start, total, top = b, 0.0, 0.0
@@ -239,7 +250,10 @@ def _swapped(s: str, m: Model, sums: np.ndarray, chars: set[str]):
 
 
 #: Signs by which a text may be garbled at all: with none of them nothing is tried.
-_SIGNS = re.compile(r"[\x80-\x9f─-▟�]|[¡-ɏ€ƒ‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ√∂∏π∫Ωæøﬂﬁ][\u0080-ɏ€ƒ‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ√∂∏π∫Ωæøﬂﬁ◊∆≈∞±≤≥¥µªº]|[Ͱ-ӿ]|[A-Za-z][¡-¿ƒ„…†‡ˆ‰Š‹ŒŽš›œžŸˆ˜∂∏π∫Ωαßγδε∞φ∩≡Γπ⌠⌡ⁿ■][a-z]")
+_SIGNS = re.compile(
+    r"[\x80-\x9f─-▟�]|[¡-ɏ€ƒ‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ√∂∏π∫Ω][\u0080-¿€ƒ‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ√∂∏π∫Ω◊∆≈∞±≤≥¥µªº]|[√¬‚„‡ΓÔ‰][¡-ɏ‚„†]|[À-ÿ]{3}|[Ͱ-ӿ]"
+    r"|[A-Za-z][¡-¿ƒ„…†‡ˆ‰Š‹ŒŽš›œžŸ˜∂∏π∫Ωαγδε∞φ∩≡Γ⌠⌡ⁿ■][a-z]"
+)
 
 
 def restore(s: str, m: Model, source: str | None, rounds: int = 6) -> tuple[str, list[int]]:
@@ -251,12 +265,13 @@ def restore(s: str, m: Model, source: str | None, rounds: int = 6) -> tuple[str,
     used: list[int] = []
     if s.isascii() or not _SIGNS.search(s):
         return s, used
+    swaps = True
     for _ in range(rounds):
         chars = {c for c in set(s) if c > "\x7f"}
         best = None
         sums = None
         for family in ("utf8", "wide", "swap"):
-            if family == "swap" and not _SWAP_SIGNS.search(s):
+            if family == "swap" and (swaps := swaps and bool(_SWAP_SIGNS.search(s))) is False:
                 continue
             if family != "utf8" and sums is None:
                 sums = m.sums(s)
