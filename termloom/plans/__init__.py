@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["hot_keys"]
+_MODULES = ["text", "retrieval", "hot_keys"]
 
 
 def queries() -> dict:
@@ -19,3 +19,7 @@ def oracle_sql() -> dict[str, str]:
     for m in _MODULES:
         out |= getattr(import_module(f"{__name__}.{m}"), "SQL", {})
     return out
+
+
+def flagship(spark, sf_dir: str):
+    return import_module(f"{__name__}.retrieval").flagship(spark, sf_dir)
