@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Endings by step as the paper has them; fixed values.
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
@@ -77,12 +77,18 @@ def stem(word: str) -> str:
     return w
 
 
-def stems(terms: DataFrame, col: str = "term") -> DataFrame:
-    """(term, stem) of every distinct term; null terms have none."""
+def stem_column(term: Column) -> Column:
+    """The stems of a column; every distinct term of a batch is stemmed once."""
 
     @F.pandas_udf("string")
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
-            yield s.map(stem)
+            done = {w: stem(w) for w in set(s) if isinstance(w, str)}
+            yield pd.Series([done.get(w) if isinstance(w, str) else None for w in s], dtype=object)
+
+    return run(term)
 
-    return terms.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("stem", run(col))
+
+def stems(terms: DataFrame, col: str = "term") -> DataFrame:
+    """(term, stem) of every distinct term; null terms have none."""
+    return terms.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("stem", stem_column(F.col(col)))

@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from termloom.functions.porter import stems
-from termloom.functions.tokens import DEFAULT_CHAIN, vocabulary_filter
+from termloom.functions.porter import stem_column
+from termloom.functions.tokens import DEFAULT_CHAIN, apply_filters, tok
 from termloom.operators.dates import dates
 from termloom.operators.phrases import phrases
+from termloom.session import written
 
 TYPES = ("single-term", "single-term-positional", "stemmed", "phrase")
 
@@ -22,20 +23,29 @@ class Index:
     postings: DataFrame
     docs: DataFrame
     meta: dict = field(default_factory=dict)
+    lex: DataFrame | None = None
+    counts: tuple[float, float, float] | None = None
 
     @property
     def positional(self) -> bool:
         return "positions" in self.postings.columns
 
     def lexicon(self) -> DataFrame:
-        return lexicon(self.postings)
+        return self.lex if self.lex is not None else lexicon(self.postings)
+
+    def stored(self) -> Index:
+        """The same index with its tables written to the shared folder and its three totals known: for many queries."""
+        p, d = written(self.postings, "postings"), written(self.docs, "docs")
+        lex = written(lexicon(p), "lexicon")
+        n, tokens = d.agg(F.count("*"), F.coalesce(F.sum("term_count"), F.lit(0))).first()
+        return Index(p, d, self.meta, lex, (float(n), float(lex.count()), float(tokens)))
 
 
 def run_chain(tokens: DataFrame, chain: list[str], stopwords: DataFrame | None = None) -> DataFrame:
     """(doc_id, pos, sub, term, final): tokens (doc_id, pos, term, seg, final) through a chain of filters.
 
-    Neighbouring filters without state run once per distinct text and are joined back; dates and phrases run over the
-    stream. `stopwords` (term) and `porter` act on tokens that are not final.
+    Neighbouring filters without state are one expression over a token; dates and phrases are windows over a document.
+    `stopwords` (term) and `porter` act on tokens that are not final.
     """
     t = tokens.withColumn("__o", F.array(F.lit(0)))
     group: list[str] = []
@@ -43,13 +53,11 @@ def run_chain(tokens: DataFrame, chain: list[str], stopwords: DataFrame | None =
     def flush(t: DataFrame) -> DataFrame:
         if not group:
             return t
-        words = t.filter(~F.col("final")).select("term")
-        new = vocabulary_filter(words, group).select("term", F.col("sub").alias("__s"), F.col("text").alias("__t"), F.col("final").alias("__f"))
+        out = apply_filters(F.array(tok(F.col("term"), F.col("final"))), list(group))
         rest = [c for c in t.columns if c not in ("term", "final", "__o")]
-        open_ = t.filter(~F.col("final")).join(new, "term").select(*rest, F.concat("__o", F.array("__s")).alias("__o"), F.col("__t").alias("term"), F.col("__f").alias("final"))
-        closed = t.filter("final").select(*rest, "__o", (F.lower("term") if "lower" in group else F.col("term")).alias("term"), "final")
         group.clear()
-        return open_.unionByName(closed)
+        t = t.select(*rest, "__o", F.posexplode(out).alias("__s", "__t"))
+        return t.select(*rest, F.concat("__o", F.array("__s")).alias("__o"), F.col("__t.text").alias("term"), F.col("__t.final").alias("final"))
 
     for name in chain:
         if name not in ("dates", "phrases", "stopwords", "porter"):
@@ -65,8 +73,7 @@ def run_chain(tokens: DataFrame, chain: list[str], stopwords: DataFrame | None =
         elif name == "stopwords":
             t = t.filter("final").unionByName(t.filter("NOT final").join(stopwords.select("term").distinct(), "term", "left_anti").select(*t.columns))
         else:
-            open_ = t.filter("NOT final").join(stems(t.filter("NOT final")), "term").withColumn("term", F.col("stem")).withColumn("final", F.lit(True)).select(*t.columns)
-            t = open_.unionByName(t.filter("final"))
+            t = t.withColumn("term", F.when(F.col("final"), F.col("term")).otherwise(stem_column(F.col("term")))).withColumn("final", F.lit(True))
     t = flush(t)
     return t.select("doc_id", "pos", F.col("__o").alias("sub"), "term", "final")
 

@@ -30,6 +30,9 @@ class Totals:
 
 def totals(index: Index, avgdl: str = "terms") -> Totals:
     """avgdl: `terms` is distinct terms by documents, `tokens` the mean length."""
+    if index.counts:
+        n, v, tokens = index.counts
+        return Totals(F.lit(n), F.lit(tokens if avgdl == "tokens" else v))
     n = index.docs.agg(F.count("*").cast("double")).scalar()
     v = index.lexicon().agg(F.count("*").cast("double")).scalar()
     if avgdl == "tokens":
@@ -88,7 +91,7 @@ def threshold_terms(terms: DataFrame, index: Index) -> DataFrame:
 
     Unknown terms come last, equal ones by position; pos is renumbered in that order. Others keep all tokens in order.
     """
-    n = index.docs.agg(F.count("*").cast("double")).scalar()
+    n = totals(index).n
     known = terms.join(index.lexicon().select("term", "df"), "term", "left")
     less = F.coalesce(F.col("thresh"), F.lit(1.0)) < 1
     w = W.partitionBy("qid")
@@ -98,27 +101,43 @@ def threshold_terms(terms: DataFrame, index: Index) -> DataFrame:
     return kept.withColumn("pos", F.col("__i")).select(*terms.columns)
 
 
-def score(terms: DataFrame, index: Index, engine: str, force: bool | Column = False, avgdl: str = "terms") -> DataFrame:
+def _by_engine(engine: str | None, share: Callable[[str], Column]) -> Column:
+    """The share of one engine, or of the one each row names in its column engine."""
+    if engine:
+        return share(engine)
+    out = F.lit(None).cast("double")
+    for name in RANKERS:
+        out = F.when(F.col("engine") == name, share(name)).otherwise(out)
+    return out
+
+
+def score(terms: DataFrame, index: Index, engine: str | None, force: bool = False, avgdl: str = "terms") -> DataFrame:
     """(qid, doc_id, score) of query tokens (qid, pos, term) on a non-positional index.
 
-    Only postings of query terms are read: lexicon and postings join the query's terms by term. Without force a query
-    needs terms whose df sum to 1 % of the documents. Documents of which a score can't be computed have no row.
+    Without an engine or with columns `engine` and `force` in terms, each query has its own. Only postings of query terms
+    are read: lexicon and postings join the query's terms by term. Without force a query needs terms whose df sum to 1 %
+    of the documents. Documents of which a score can't be computed have no row.
     """
     t = totals(index, avgdl)
-    keys = ["qid", "force"] if isinstance(force, Column) else ["qid"]
-    q = terms.withColumn("force", force) if isinstance(force, Column) else terms
-    q = q.groupBy(*keys, "term").agg(F.count("*").cast("double").alias("k"))
+    own = [c for c in ("engine", "force") if c in terms.columns]
+    q = terms.groupBy("qid", *own, "term").agg(F.count("*").cast("double").alias("k"))
     q = q.join(index.lexicon().select("term", F.col("df").cast("double").alias("df"), F.col("tf").cast("double").alias("ctf")), "term")
-    if force is not True:
-        gate = q.groupBy(*keys).agg(F.sum(F.col("k") * F.col("df")).alias("__s"))
-        ok = F.col("__s") >= 0.01 * t.n
-        q = q.join(gate.filter(ok | F.col("force") if len(keys) > 1 else ok).select("qid"), "qid", "left_semi")
+    if not force:
+        gate = q.groupBy("qid", *own).agg(F.sum(F.col("k") * F.col("df")).alias("__s"), F.sum(F.col("k") ** 3).alias("__q"))
+        enough = F.col("__s") >= 0.01 * t.n
+        gate = gate.filter(enough | F.col("force") if "force" in own else enough)
+    else:
+        gate = q.groupBy("qid", *own).agg(F.sum(F.col("k") ** 3).alias("__q"))
+    q = q.join(gate.select("qid", "__q"), "qid")
     docs = index.docs.select("doc_id", F.col("term_count").cast("double").alias("term_count"), "norm2")
     hits = q.join(index.postings.select("term", "doc_id", F.col("tf").cast("double").alias("tf")), "term").join(docs, "doc_id")
-    s = hits.groupBy("qid", "doc_id").agg(F.sum(RANKERS[engine](t)).alias("score"), F.first("norm2").alias("norm2"))
+    by = [c for c in own if c == "engine"]
+    s = hits.groupBy("qid", *by, "doc_id").agg(F.sum(_by_engine(engine, lambda e: RANKERS[e](t))).alias("score"), F.first("norm2").alias("norm2"), F.first("__q").alias("__q"))
+    size = F.sqrt(F.col("norm2") * F.col("__q"))
     if engine == "COSINE":
-        size = q.groupBy("qid").agg(F.sum(F.col("k") ** 3).alias("__q"))
-        s = s.join(size, "qid").withColumn("score", F.try_divide(F.col("score"), F.sqrt(F.col("norm2") * F.col("__q"))))
+        s = s.withColumn("score", F.try_divide(F.col("score"), size))
+    elif not engine:
+        s = s.withColumn("score", F.when(F.col("engine") == "COSINE", F.try_divide(F.col("score"), size)).otherwise(F.col("score")))
     return s.filter(F.col("score").isNotNull() & ~F.isnan("score")).select("qid", "doc_id", "score")
 
 
@@ -156,18 +175,21 @@ def match_phrases(terms: DataFrame, index: Index) -> DataFrame:
     return hits.select("qid", "doc_id", F.size(left).alias("m")).filter("m > 0")
 
 
-def score_positional(terms: DataFrame, index: Index, engine: str, force: bool | Column = False, avgdl: str = "terms") -> DataFrame:
-    """(qid, doc_id, score) by matched phrases; without force 1 % of the documents (rounded down) must match."""
+def score_positional(terms: DataFrame, index: Index, engine: str | None, force: bool = False, avgdl: str = "terms") -> DataFrame:
+    """(qid, doc_id, score) by matched phrases; without force 1 % of the documents (rounded down) must match. Columns
+    `engine` and `force` of terms work as in score."""
     t = totals(index, avgdl)
+    own = [c for c in ("engine", "force") if c in terms.columns]
     m = match_phrases(terms, index)
     per = m.groupBy("qid").agg(F.count("*").cast("double").alias("df"))
-    if isinstance(force, Column):
-        per = per.join(terms.select("qid", force.alias("__f")).distinct(), "qid").filter(F.col("__f") | (F.col("df") >= F.floor(0.01 * t.n))).drop("__f")
-    elif not force:
-        per = per.filter(F.col("df") >= F.floor(0.01 * t.n))
+    if own:
+        per = per.join(terms.select("qid", *own).distinct(), "qid")
+    if not force:
+        enough = F.col("df") >= F.floor(0.01 * t.n)
+        per = per.filter(enough | F.col("force") if "force" in own else enough)
     docs = index.docs.select("doc_id", F.col("term_count").cast("double").alias("term_count"), F.expr("nullif(norm2, 0D)").alias("norm2"))
     hits = m.select("qid", "doc_id", F.col("m").cast("double").alias("tf")).join(per, "qid").join(docs, "doc_id")
-    return hits.withColumn("score", positional_share(engine, t)).filter(F.col("score").isNotNull() & ~F.isnan("score")).select("qid", "doc_id", "score")
+    return hits.withColumn("score", _by_engine(engine, lambda e: positional_share(e, t))).filter(F.col("score").isNotNull() & ~F.isnan("score")).select("qid", "doc_id", "score")
 
 
 def rank(scored: DataFrame, limit: int | None = 100) -> DataFrame:
@@ -196,6 +218,6 @@ def fall_back(queries: DataFrame, answers: DataFrame) -> DataFrame:
 
 def term_stats(terms: DataFrame, index: Index) -> DataFrame:
     """(term, idf, df, tf, error) of texts looked up as they are, without filters."""
-    n = index.docs.agg(F.count("*").cast("double")).scalar()
+    n = totals(index).n
     t = terms.select("term").distinct().join(index.lexicon(), "term", "left")
     return t.select("term", idf(n, F.col("df")).alias("idf"), "df", "tf", F.when(F.col("df").isNull(), "unknown term").alias("error"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from termloom.functions.markup_tokens import tokenize
 from termloom.operators.index import Index, run_chain
-from termloom.operators.rank import RANKERS, fall_back, rank, score, score_positional, threshold_terms
+from termloom.operators.rank import fall_back, rank, score, score_positional, threshold_terms
+from termloom.session import written
 
 
 def query_terms(queries: DataFrame, index: Index) -> DataFrame:
@@ -26,15 +27,14 @@ def search(queries: DataFrame, indexes: dict[str, Index], limit: int = 100) -> D
     Engines go by name in any case; queries with an unknown or null engine, no text or no answer have no rows.
     """
     prefs = F.filter(F.transform(F.split("index_pref", ","), F.trim), lambda x: x != "")
-    q = queries.select(F.rtrim("qid").alias("qid"), "text", F.upper("engine").alias("engine"), "index_pref", F.coalesce("force", F.lit(False)).alias("force"), "query_thresh", F.element_at(prefs, -1).alias("__last"), prefs.alias("__prefs"))
+    q = written(queries.select(F.rtrim("qid").alias("qid"), "text", F.upper("engine").alias("engine"), "index_pref", F.coalesce("force", F.lit(False)).alias("force"), "query_thresh", F.element_at(prefs, -1).alias("__last"), prefs.alias("__prefs")), "queries")
     parts = []
     for tag, index in indexes.items():
         mine = q.filter(F.array_contains("__prefs", tag))
         terms = threshold_terms(query_terms(mine, index), index)
-        terms = terms.join(mine.select("qid", "engine", (F.col("force") | (F.col("__last") == tag)).alias("__force")), "qid")
-        for engine in RANKERS:
-            run = score_positional if index.positional else score
-            s = run(terms.filter(F.col("engine") == engine), index, engine, F.col("__force"))
-            parts.append(s.join(index.docs.select("doc_id", "docno"), "doc_id").withColumn("source", F.lit(tag)))
+        terms = terms.join(mine.select("qid", "engine", (F.col("force") | (F.col("__last") == tag)).alias("force")), "qid")
+        terms = written(terms.select("qid", F.row_number().over(W.partitionBy("qid").orderBy("pos")).alias("pos"), "term", "engine", "force"), "terms")  # used several times below
+        s = (score_positional if index.positional else score)(terms, index, None)
+        parts.append(written(s.join(index.docs.select("doc_id", "docno"), "doc_id").withColumn("source", F.lit(tag)), "answers"))
     answers = fall_back(q.select("qid", "index_pref"), reduce(DataFrame.unionByName, parts))
     return rank(answers, limit).select("qid", "doc_id", "docno", "rank", "score", "source")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from termloom.functions.tokens import RUN, native_tokens
 from termloom.operators import index as I, rank as R
 from termloom.operators.search import search as search_all
 from termloom.plans.text import _CORE, STREAM, stop_words, stream
-from termloom.session import table
+from termloom.session import table, written
 from termloom.sources.trec import run_lines
 
 
@@ -85,11 +85,14 @@ def term_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def positional_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring topic words in documents: positions of the second at most one beyond the last of the first."""
-    p = base_index(spark, d, True).postings.select("term", "doc_id", "positions")
-    t = topics(spark, d)
-    nxt = t.select("qid", (F.col("pos") - 1).alias("pos"), F.col("term").alias("second"))
-    pairs = t.join(nxt, ["qid", "pos"]).select(F.col("term").alias("first"), "second").distinct()
+    """Common neighbours (pairs of terms next to each other in 1 % of the documents): the positions of the second that are
+    at most one beyond the last of the first, in every document that has both."""
+    i = base_index(spark, d, True)
+    p = i.postings.select("term", "doc_id", "positions")
+    w = W.partitionBy("doc_id").orderBy("pos")
+    t = stream(spark, d).select("doc_id", "pos", F.lower("term").alias("first"))
+    t = t.withColumn("second", F.lead("first").over(w)).withColumn("__p", F.lead("pos").over(w)).filter(F.col("__p") == F.col("pos") + 1)
+    pairs = t.groupBy("first", "second").agg(F.count_distinct("doc_id").alias("k")).filter(F.col("k") >= 0.01 * R.totals(i).n).select("first", "second")
     left = pairs.join(p.withColumnRenamed("term", "first"), "first")
     right = pairs.join(p.withColumnRenamed("term", "second"), "second")
     out = R.filter_sequential(left.select("first", "second", "doc_id", "positions"), right.select("first", "second", "doc_id", "positions"))
@@ -149,7 +152,8 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     """All topics on four indexes with their own engine, threshold, force and preferences."""
     t, n = stream(spark, d), names(spark, d)
     kinds = {"single": "single-term", "positional": "single-term-positional", "stem": "stemmed", "phrase": "phrase"}
-    return search_all(table(spark, d, "topics"), {k: I.build_index(t, n, v) for k, v in kinds.items()})
+    t, n = written(t, "stream"), written(n, "names")
+    return search_all(table(spark, d, "topics"), {k: I.build_index(t, n, v).stored() for k, v in kinds.items()})
 
 
 def stemmed_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +218,8 @@ SQL = {
     "prune_soft": f"""WITH s AS (SELECT *, avg(tf) OVER w + 1.5 * stddev_pop(tf) OVER w AS least, max(tf) OVER w AS top, max(doc_id) OVER w AS last, count(*) OVER w AS n FROM ({_POST}) WINDOW w AS (PARTITION BY term))
 SELECT term, doc_id, tf FROM s WHERE n < 2 OR tf >= least OR (top < least AND doc_id = last)""",
     "term_stats": f"{_WITH}, words AS (SELECT DISTINCT t AS term FROM (SELECT translate({_CORE}, '('')', '-') AS t FROM qr) WHERE t <> '') SELECT words.term, round(ln((tot.n - df + 0.5) / (df + 0.5)), 6) AS idf, df, tf, CASE WHEN df IS NULL THEN 'unknown term' END AS error FROM words LEFT JOIN lex USING (term), tot",
-    "positional_filter": f"""{_WITH}, pairs AS (SELECT DISTINCT a.term AS first, b.term AS second FROM qt a JOIN qt b ON a.qid = b.qid AND b.pos = a.pos + 1),
+    "positional_filter": f"""{_WITH}, nb AS (SELECT doc_id, pos, lower(term) AS first, lead(lower(term)) OVER w AS second, lead(pos) OVER w AS np FROM ({STREAM}) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+pairs AS (SELECT first, second FROM nb WHERE np = pos + 1 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 0.01 * (SELECT n FROM tot)),
 x AS (SELECT first, second, l.doc_id, list_filter(r.positions, lambda y: y <= list_max(l.positions) + 1) AS positions FROM pairs JOIN p l ON l.term = first JOIN p r ON r.term = second AND r.doc_id = l.doc_id)
 SELECT first, second, doc_id, array_to_string(positions, ' ') AS positions FROM x WHERE len(positions) > 0""",
     **{f"rank_{e.lower()}": f"{_WITH}{_K}{_HITS}s AS (SELECT qid, doc_id, round({x}, 9) AS score FROM h, tot GROUP BY qid, doc_id) {_TOP}" for e, x in _SCORES.items()},
