@@ -127,8 +127,9 @@ def _alike(a: str, b: str, width: int, least: int):
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """rows of nodes that hold two at least, with their size; counts combine before the shuffle."""
-    return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node")
+    """rows of nodes that hold two at least, with their size; counts combine before the shuffle. The counts are hashed, so
+    the rows, many times as many, need no sort."""
+    return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").hint("shuffle_hash"), "node")
 
 
 def candidate_pairs(reps: DataFrame, kind: str, trees: int, branches: int, depth: int, leaf: int, most: int) -> DataFrame:
