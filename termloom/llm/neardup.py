@@ -184,7 +184,7 @@ def near_duplicates(
     sketched = written(sketched, "sketches")
     sets = ["k1", "k2", "n"]
     reps = written(sketched.groupBy(*sets).agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
-    classes = sketched.select("id", *sets).join(reps.select(*sets, "rep"), sets).select("id", "rep")
+    classes = written(sketched.select("id", *sets).join(reps.select(*sets, "rep"), sets).select("id", "rep"), "classes")
     lowest = max(1, int(width * threshold - 4 * (width * threshold * (1 - threshold)) ** 0.5))
     # n bounds similarity by the ratio of sizes
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -206,7 +206,7 @@ def near_duplicates(
     checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", both.alias("both"), (F.size("r_a") + F.size("r_b")).alias("sum"))
     links = checked.filter(F.col("both") >= F.lit(threshold) * (F.col("sum") - F.col("both")))
     links = links.select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity"))
-    return links, classes.withColumnRenamed("id", key)
+    return written(links, "links"), classes.withColumnRenamed("id", key)
 
 
 def document_pairs(links: DataFrame, classes: DataFrame, key: str, copies: int = 1_000) -> DataFrame:
