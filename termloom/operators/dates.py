@@ -38,11 +38,10 @@ def dates(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str =
     part = part.withColumn("__m", month_of(t)).withColumn("__n", t.rlike(r"^[+-]?[0-9]{1,18}$"))
     day = F.regexp_extract(t, r"^(\+?[0-9]+)[thsrd]*$", 1).try_cast("bigint")
     part = part.withColumn("__d", F.when((day >= 1) & (day <= 30), day))
-    # places within islands of month names: the first, third, ... begin a date
-    island = F.row_number().over(w) - F.row_number().over(W.partitionBy(doc, F.col("__m").isNotNull()).orderBy(pos))
-    part = part.withColumn("__i", F.when(F.col("__m").isNotNull(), island))
-    odd = F.row_number().over(W.partitionBy(doc, "__i").orderBy(pos)) % 2 == 1
-    part = part.withColumn("__s", F.col("__m").isNotNull() & odd)
+    # months in a row: the first, third, ... after a token that is none begin a date. All windows have one order.
+    part = part.withColumn("__r", F.row_number().over(w))
+    gap = F.col("__r") - F.coalesce(F.max(F.when(F.col("__m").isNull(), F.col("__r"))).over(w), F.lit(0))
+    part = part.withColumn("__s", F.col("__m").isNotNull() & (gap % 2 == 1)).withColumn("__f", figures(t))
     for c in ("__m", "__s", "__d"):
         part = part.withColumn(f"{c}1", F.lag(c, 1).over(w))
     part = part.withColumn("__m2", F.lag("__m", 2).over(w)).withColumn("__s2", F.lag("__s", 2).over(w))
@@ -51,7 +50,7 @@ def dates(tokens: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str =
     one = lambda x, f: F.struct(x.alias("text"), F.lit(f).alias("final"))
     name = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.col("__m"))
     number = t.try_cast("bigint")
-    begin = F.when(yes("__s1"), F.array(one(t, False))).when(figures(t).isNotNull(), F.array(one(figures(t), True))).when(F.col("__s"), F.array(one(name, True))).otherwise(F.array(one(t, False)))
+    begin = F.when(yes("__s1"), F.array(one(t, False))).when(F.col("__f").isNotNull(), F.array(one(F.col("__f"), True))).when(F.col("__s"), F.array(one(name, True))).otherwise(F.array(one(t, False)))
     full = F.format_string("%02d_%02d_%04d", F.col("__m2"), F.col("__d1"), number)
     open_ = F.format_string("%02d_%02d_0000", F.col("__m2"), F.col("__d1"))
     out = (
