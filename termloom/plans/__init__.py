@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["text", "retrieval", "hot_keys"]
+_MODULES = ["text", "retrieval", "io", "hot_keys"]
 
 
 def queries() -> dict:
