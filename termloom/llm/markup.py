@@ -34,7 +34,7 @@ _UNIT = re.compile(
 )
 _SIGN = re.compile(
     r"</?[A-Za-z][\w:-]*(?:\s[^<>\n]*)?/?>|<!--|&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]\w+);|\[\[[^\]\n]+\]\]|\{\{[^}\n]*\}\}|''|\*\*\S|~~\S|`[^`\n]+`|\]\([^)\n]*\)|\[\^\w+\]"
-    r"|\\(?:[A-Za-z]+|[$&%#_{}\[\]()])|(?<![\w*])\*\w[^*\n]*\w\*(?![\w*])|(?<![\w_])_\w[^_\n]*\w_(?![\w_])|(?<!\w)[*_]\w[*_](?!\w)|~\\|^#{1,6} \S|^={2,6} ?[^=\n]+={2,6} *$|^(?:```|~~~)|^[^\n]*\S[^\n]*\n(?:=+|-{3,}) *$|^\$\$|^\$[^$\n]+\$ *$|^\{\||^>{1,3} \S",
+    r"|\\(?:[A-Za-z]+|[$&%#_{}\[\]()])|(?<![\w*])\*\w[^*\n]*\w\*(?![\w*])|(?<![\w_])_\w[^_\n]*\w_(?![\w_])|(?<!\w)[*_]\w[*_](?!\w)|~\\|^#{1,6} \S|^={2,6} ?[^=\n]+={2,6} *$|^(?:```|~~~)|(?<=[^\n ])\n(?:=+|-{3,}) *$|^\$\$|^\$[^$\n]+\$ *$|^\{\||^>{1,3} \S",
     re.M,
 )
 _LISTS = re.compile(r"(?:\A|\n[ \t]*\n)(?:[*+-]|1[.)]|[#]) +\S[^\n]*(?:\n|\Z)|(?:^|\n)([*+-]|\d+[.)]) +\S[^\n]*\n(?:[*+-]|\d+[.)]) +\S")
