@@ -185,10 +185,9 @@ def lexicon_report(lex: DataFrame) -> DataFrame:
     per = lex.groupBy("df").agg(F.count("*").alias("k"))  # as many rows as there are different df
     w = W.orderBy("df")
     cum = per.withColumn("upto", F.sum("k").over(w))
-    n = F.col("n_terms")
     s = per.agg(F.sum("k").alias("n_terms"), F.max("df").alias("max_df"), F.min("df").alias("min_df"), (F.sum(F.col("df") * F.col("k")) / F.sum("k")).alias("mean_df"))
-    med = cum.join(F.broadcast(s.select("n_terms")), F.col("upto") > F.floor(n / 2)).agg(F.min("df").alias("median_df"))
-    return s.withColumn("median_df", med.scalar())
+    half = F.floor(per.agg(F.sum("k")).scalar() / 2)
+    return s.withColumn("median_df", cum.filter(F.col("upto") > half).agg(F.min("df")).scalar())
 
 
 def dump_postings(postings: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def number_rows(rows: DataFrame, keys: list[str], order: list[str], slices: int
     a task that is run again gives the same numbers. Returns the written rows with `__file` and `__row`, and the offsets
     (`__file`, keys, `__n`, `__first`, `__before`): number = __before + __row - __first.
 
-    Rows that are equal in keys and order get different numbers, in no defined order among them. Null keys are keys.
+    Rows that are equal in keys and order get different numbers, in no defined order among them; they lie in one
+    partition, so the order should tell rows apart. Null keys are keys.
     """
     slices = slices or parallelism(rows.sparkSession)
     laid = written(rows.repartitionByRange(slices, *order).sortWithinPartitions(*keys, *order), "numbered")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from termloom.functions.tokens import RUN, native_tokens
 from termloom.operators import index as I, rank as R
 from termloom.operators.search import search as search_all
-from termloom.plans.text import _CORE, STREAM, stop_words, stream
+from termloom.plans.text import _CORE, SQL as _TEXT, STREAM, default_chain_sql, stop_words, stream
 from termloom.session import table, written
 from termloom.sources.trec import run_lines
 
@@ -227,6 +227,9 @@ SELECT first, second, doc_id, array_to_string(positions, ' ') AS positions FROM
     "query_threshold": f"""{_WITH}, x AS (SELECT qt.*, df, coalesce(thresh, 1.0) < 1 AS less FROM qt LEFT JOIN lex USING (term)),
 y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN less THEN (df IS NULL)::INTEGER ELSE 0 END, CASE WHEN less THEN -coalesce(ln(((SELECT n FROM tot) - df + 0.5) / (df + 0.5)), 0.0) ELSE 0.0 END, pos) AS i, count(*) OVER (PARTITION BY qid) AS c FROM x)
 SELECT qid, i::INTEGER AS pos, term FROM y WHERE NOT less OR (i - 1)::DOUBLE / c < thresh""",
+    "phrase_postings": f"SELECT phrase AS term, doc_id, count(*)::INTEGER AS tf FROM ({_TEXT['phrase_terms']}) GROUP BY ALL",
+    "stopped_postings": f"""WITH c AS ({default_chain_sql(f'SELECT doc_id, pos, term AS t, final AS f FROM ({STREAM})')}), st AS (SELECT regexp_replace(lower(trim(term)), '[\'\'’]', '', 'g') AS term FROM stops WHERE term IS NOT NULL)
+SELECT t AS term, doc_id, count(*)::INTEGER AS tf FROM c WHERE f OR t NOT IN (SELECT term FROM st) GROUP BY ALL""",
     "gate": f"{_WITH} SELECT qid, sum(df)::BIGINT AS sum_df FROM qt JOIN lex USING (term) GROUP BY qid HAVING sum(df) >= 0.01 * (SELECT n FROM tot)",
     "extend_unique": f"WITH {_ANS} SELECT qid, doc_id, source, score FROM a WHERE source = 'single' UNION ALL SELECT qid, doc_id, source, score FROM a ANTI JOIN (SELECT qid, doc_id FROM a WHERE source = 'single') USING (qid, doc_id) WHERE source = 'positional'",
     "fallback": f"{_FALL} SELECT qid, source, doc_id, score FROM f",

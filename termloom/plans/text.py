@@ -67,7 +67,7 @@ def filter_dates(spark: SparkSession, d: str) -> DataFrame:
 def chain_tokens(spark: SparkSession, d: str) -> DataFrame:
     """The whole default chain over the native tokens of all documents."""
     t = T.native_tokens(docs(spark, d)).select("doc_id", "pos", "term", F.lit(0).cast("long").alias("seg"), F.lit(False).alias("final"))
-    return run_chain(t, T.DEFAULT_CHAIN)
+    return run_chain(t, T.DEFAULT_CHAIN).withColumn("sub", F.array_join(F.transform("sub", lambda x: x.cast("string")), "."))
 
 
 def stop_words(spark: SparkSession, d: str) -> DataFrame:
@@ -136,22 +136,46 @@ _MAP = "MAP {" + ", ".join(f"'{k}': {i + 1}" for i, n in enumerate(MONTHS) for k
 _Y = f"try_cast(regexp_extract(t, '{FIGURES}', 3) AS INTEGER)"
 _D = f"try_cast(regexp_extract(t, '{FIGURES}', 2) AS INTEGER)"
 _M = f"try_cast(regexp_extract(t, '{FIGURES}', 1) AS INTEGER)"
-_DATES = f"""
-WITH a AS (SELECT doc_id, pos, term AS t, {_MAP}[lower(term)] AS m FROM ({NATIVE})),
+
+def dates_sql(rel: str, order: str) -> str:
+    """Dates over a relation (doc_id, <order>, t): its order columns, i and x (t, f) of what each token becomes."""
+    return f"""
+WITH a AS (SELECT doc_id, {order}, t, {_MAP}[lower(t)] AS m FROM ({rel})),
 b AS (SELECT *, regexp_matches(t, '^[+-]?[0-9]{{1,18}}$') AS n, try_cast(t AS BIGINT) AS num,
   CASE WHEN try_cast(regexp_extract(t, '^(\\+?[0-9]+)[thsrd]*$', 1) AS BIGINT) BETWEEN 1 AND 30 THEN try_cast(regexp_extract(t, '^(\\+?[0-9]+)[thsrd]*$', 1) AS BIGINT) END AS d,
   CASE WHEN {_D} BETWEEN 1 AND 31 THEN printf('%02d_%02d_%04d', {_M}, {_D}, CASE WHEN {_Y} <= 20 THEN {_Y} + 2000 WHEN {_Y} < 100 THEN {_Y} + 1900 ELSE {_Y} END) END AS fig,
-  row_number() OVER (PARTITION BY doc_id ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, m IS NOT NULL ORDER BY pos) AS g FROM a),
-c AS (SELECT *, m IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, m IS NOT NULL, g ORDER BY pos) % 2 = 1 AS s FROM b),
-e AS (SELECT *, coalesce(lag(s, 1) OVER w, false) AS s1, coalesce(lag(s, 2) OVER w, false) AS s2, lag(m, 1) OVER w AS m1, lag(m, 2) OVER w AS m2, lag(d, 1) OVER w AS d1 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-f AS (SELECT *, CASE WHEN s1 THEN {_one('t')} WHEN fig IS NOT NULL THEN {_one('fig', 'true')} WHEN s THEN {_one(f'[{_Q(MONTHS)}][m]', 'true')} ELSE {_one('t')} END AS beg FROM e),
-h AS (SELECT doc_id, pos, CASE
+  row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - row_number() OVER (PARTITION BY doc_id, m IS NOT NULL ORDER BY {order}) AS g FROM a),
+c AS (SELECT *, m IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, m IS NOT NULL, g ORDER BY {order}) % 2 = 1 AS s FROM b),
+e AS (SELECT *, coalesce(lag(s, 1) OVER w, false) AS s1, coalesce(lag(s, 2) OVER w, false) AS s2, lag(m, 1) OVER w AS m1, lag(m, 2) OVER w AS m2, lag(d, 1) OVER w AS d1 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY {order})),
+k AS (SELECT *, CASE WHEN s1 THEN {_one('t')} WHEN fig IS NOT NULL THEN {_one('fig', 'true')} WHEN s THEN {_one(f'[{_Q(MONTHS)}][m]', 'true')} ELSE {_one('t')} END AS beg FROM e),
+h AS (SELECT doc_id, {order}, CASE
   WHEN s2 AND d1 IS NOT NULL AND n THEN [{{'t': t, 'f': false}}, {{'t': printf('%02d_%02d_%04d', m2, d1, num), 'f': true}}]
   WHEN s2 AND d1 IS NOT NULL THEN list_concat({_one("printf('%02d_%02d_0000', m2, d1)", 'true')}, beg)
   WHEN s1 AND d IS NOT NULL THEN []
   WHEN s1 AND n THEN [{{'t': t, 'f': false}}, {{'t': printf('%02d_00_%04d', m1, num), 'f': true}}]
-  ELSE beg END AS l FROM f)
-SELECT doc_id, pos, (i - 1)::INTEGER AS sub, x.t AS term, x.f AS final FROM (SELECT doc_id, pos, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM h)"""
+  ELSE beg END AS l FROM k)
+SELECT doc_id, {order}, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM h"""
+
+
+_DATES = f"SELECT doc_id, pos, (i - 1)::INTEGER AS sub, x.t AS term, x.f AS final FROM ({dates_sql(f'SELECT doc_id, pos, term AS t FROM ({NATIVE})', 'pos')})"
+
+
+def _group_sql(rel: str, names: list[str]) -> str:
+    """Neighbouring filters over (doc_id, pos, o, t, f); the place in what a token becomes is put behind o."""
+    r = f"SELECT *, [0] AS q FROM ({rel})"
+    for n in names:
+        e = FILTER_SQL[n] if n in T.SEES_FINAL else f"CASE WHEN f THEN {_one('t', 'true')} ELSE {FILTER_SQL[n]} END"
+        r = f"SELECT doc_id, pos, o, x.t AS t, x.f AS f, list_append(q, i) AS q FROM (SELECT doc_id, pos, o, q, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, pos, o, q, {e} AS l FROM ({r})))"
+    return f"SELECT doc_id, pos, list_append(o, row_number() OVER (PARTITION BY doc_id, pos, o ORDER BY q) - 1) AS o, t, f FROM ({r})"
+
+
+def default_chain_sql(rel: str) -> str:
+    """The default chain over a relation (doc_id, pos, t, f): (doc_id, pos, o, t, f)."""
+    r = _group_sql(f"SELECT doc_id, pos, [0::BIGINT] AS o, t, f FROM ({rel})", ["digits"])
+    open_ = f"SELECT doc_id, pos, list_append(o, i - 1) AS o, x.t AS t, x.f AS f FROM ({dates_sql(f'SELECT doc_id, pos, o, t FROM ({r}) WHERE NOT f', 'pos, o')})"
+    r = f"{open_} UNION ALL SELECT doc_id, pos, list_append(o, 0) AS o, t, f FROM ({r}) WHERE f"
+    return _group_sql(r, T.DEFAULT_CHAIN[2:])
+
 
 _PHRASES = f"""
 WITH s AS ({STREAM}),
@@ -181,6 +205,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INTEGER AS po
     **{f"filter_{n}": chain_sql([n]) for n in FILTER_SQL},
     "filter_chain": chain_sql(_PLAIN),
     "filter_dates": _DATES,
+    "chain_tokens": f"SELECT doc_id, pos, array_to_string(o, '.') AS sub, t AS term, f AS final FROM ({default_chain_sql(f'SELECT doc_id, pos, term AS t, false AS f FROM ({NATIVE})')})",
     "filter_stopwords": f"""WITH st AS (SELECT regexp_replace(lower(trim(term)), '[''’]', '', 'g') AS term FROM stops)
 SELECT doc_id, pos, lower(term) AS term, final FROM ({STREAM}) WHERE final OR lower(term) NOT IN (SELECT term FROM st WHERE term IS NOT NULL)""",
     "phrase_terms": _PHRASES,
