@@ -112,7 +112,8 @@ def _deeper(batches, branches: int):
     for b in batches:
         if b.num_rows:
             kids = _children(b.column(0).to_numpy().view(_U), _grid(b.column(2)), branches).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(kids.view(np.int64)), b.column(1).take(pa.array(np.repeat(np.arange(b.num_rows), branches)))], ["node", "rep"])
+            from_ = pa.array(np.repeat(np.arange(b.num_rows), branches))
+            yield pa.RecordBatch.from_arrays([pa.array(kids.view(np.int64)), b.column(1).take(from_), b.column(3).take(from_)], ["node", "rep", "above"])
 
 
 def _alike(a: str, b: str, width: int, least: int):
@@ -132,34 +133,35 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").hint("shuffle_hash"), "node")
 
 
-def candidate_pairs(reps: DataFrame, kind: str, trees: int, branches: int, depth: int, leaf: int, most: int) -> DataFrame:
+def candidate_pairs(reps: DataFrame, kind: str, trees: int, branches: int, depth: int, leaf: int, most: int, block: int = 256) -> DataFrame:
     """(a, b): distinct pairs that share a leaf of some tree.
 
-    Nodes of up to `leaf` rows are compared exhaustively; larger ones branch on. Nodes that are still larger at the
-    deepest level `most` hold rows that agree in nearly all tokens: they are cut into blocks by a hash and every pair of
-    blocks is compared, so nothing is lost and no task sees more than about two blocks.
+    Nodes of up to `leaf` rows are compared exhaustively; larger ones branch on. A node that is hardly smaller than the one
+    above it (0.7 of its rows or more), or still large at the deepest level `most`, holds rows that agree in most tokens:
+    it is cut into blocks of about `block` rows by a hash and every pair of blocks is compared, so nothing is lost, no task
+    sees more than two blocks, and a large group of near copies doesn't branch down to the deepest level.
     """
     schema = f"node bigint, rep {kind}"
-    rows = reps.select("rep", "sketch").mapInArrow(lambda b: _start(b, trees, branches, depth), schema)
+    rows = reps.select("rep", "sketch").mapInArrow(lambda b: _start(b, trees, branches, depth), schema).withColumn("above", F.lit(None).cast("long"))
     leaves = None
     for level in range(depth, most + 1):
         rows = written(_counted(rows), f"nodes{level}")
-        small = rows.filter(F.col("size") <= leaf).select("node", "rep")
-        leaves = small if leaves is None else leaves.unionByName(small)
-        big = rows.filter(F.col("size") > leaf)
+        large = F.col("size") > leaf
+        dense = large & (F.lit(level == most) | F.coalesce(F.col("size") >= 0.7 * F.col("above"), F.lit(False)))
+        blocks = F.when(dense, F.ceil(F.col("size") / block)).otherwise(1).cast("int")
+        mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+        sides = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), F.when(mine == j, 0).when(mine < j, 1).otherwise(2).alias("side")))
+        cut = rows.filter(dense).select("node", "rep", F.explode(sides).alias("p")).select(F.xxhash64("node", "p.i", "p.j").alias("node"), "rep", "p.side")
+        here = rows.filter(~large).select("node", "rep", F.lit(0).alias("side")).unionByName(cut)
+        leaves = here if leaves is None else leaves.unionByName(here)
+        big = rows.filter(large & ~dense)
         if big.isEmpty():
             break
-        if level == most:
-            blocks = F.ceil(F.col("size") / leaf).cast("int")
-            mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-            pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-            cut = big.select("node", "rep", F.explode(pairs).alias("p")).select(F.xxhash64("node", "p.i", "p.j").alias("node"), "rep")
-            leaves = leaves.unionByName(cut)
-        else:
-            rows = big.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch").mapInArrow(lambda b: _deeper(b, branches), schema)
-    groups = leaves.groupBy("node").agg(F.sort_array(F.collect_list("rep")).alias("g"))  # at most about 2 * leaf each
+        rows = big.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch", "size").mapInArrow(lambda b: _deeper(b, branches), schema + ", above bigint")
+    groups = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rep", "side"))).alias("g"))  # a leaf, or two blocks at most
     each = groups.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("b"))
-    return each.filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    each = each.filter("a.rep < b.rep AND (a.side = 0 OR a.side <> b.side)").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    return each.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def near_duplicates(

@@ -47,6 +47,19 @@ def test_copies(spark):
     assert {(0, i) for i in range(1, 9)} <= star and any(x < 9 <= y for x, y in star)
 
 
+def test_large_group_of_near_copies(spark):
+    """Every two of 700 texts are alike: nodes don't shrink, so they are compared by blocks."""
+    r, base = random.Random(8), [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(700):
+        t = list(base)
+        t[r.randrange(60)] = f"x{i}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links, classes = near_duplicates(df, "doc_id", "text", 3, 0.5)
+    assert links.count() == len(_exact(texts, 3, 0.5, 3)) and classes.count() == 700
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "x " * 40)], "doc_id long, text string")
     links, classes = near_duplicates(df, "doc_id", "text")
