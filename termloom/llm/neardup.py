@@ -172,8 +172,8 @@ def near_duplicates(
 
     links: (a, b, similarity), a < b, pairs of representatives of different sets with exact Jaccard similarity of at
     least `threshold`. classes: (key, rep), every document that takes part with the least key among those of an equal
-    set. Texts with under max(words, least_words) words, null and empty ones take part in nothing. key must be unique
-    and not null (rows with a null key are left out). Words are runs of letters and digits of the lower-cased text.
+    set. Texts with under max(words, least_words) words, null and empty ones take part in nothing. Repeated rows count
+    once; a key must not have different texts (rows with a null key are left out). Empty tables give empty results. Words are runs of letters and digits of the lower-cased text.
 
     Every set gets `width` minwise tokens. `trees` independent trees branch each node `branches` ways by tokens at
     places its hash picks, from `depth` levels on until a node has at most `leaf` rows. A pair of similarity 0.5 meets
@@ -186,7 +186,7 @@ def near_duplicates(
     sketched = written(sketched, "sketches")
     sets = ["k1", "k2", "n"]
     reps = written(sketched.groupBy(*sets).agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
-    classes = written(sketched.select("id", *sets).join(reps.select(*sets, "rep"), sets).select("id", "rep"), "classes")
+    classes = written(sketched.select("id", *sets).join(reps.select(*sets, "rep"), sets).select("id", "rep").distinct(), "classes")
     lowest = max(1, int(width * threshold - 4 * (width * threshold * (1 - threshold)) ** 0.5))
     # n bounds similarity by the ratio of sizes
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))

@@ -39,7 +39,7 @@ def test_pairs_equal_brute_force(spark):
 def test_copies(spark):
     a = " ".join(f"a{i}" for i in range(30))
     b = a + " more"
-    df = spark.createDataFrame([(i, a if i < 9 else b) for i in range(12)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, a if i < 9 else b, 7) for i in [*range(12), 3, 11]], "doc_id long, text string, rep int")
     links, classes = near_duplicates(df, "doc_id", "text")
     assert links.count() == 1 and classes.select("rep").distinct().count() == 2 and classes.count() == 12
     assert document_pairs(links, classes, "doc_id").count() == 66
