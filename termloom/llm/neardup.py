@@ -40,15 +40,18 @@ def shingles(texts: list[str | None], words: int, least: int) -> tuple[np.ndarra
     runs = _mix(runs)
     whole = doc[: len(runs)] == doc[words - 1 :]
     runs, doc = runs[whole], doc[: len(runs)][whole]
-    order = np.lexsort((runs, doc))
-    runs, doc = runs[order], doc[order]
+    stops = np.cumsum(np.bincount(doc, minlength=len(texts))).tolist()
+    at = 0
+    for stop in stops:
+        runs[at:stop].sort()
+        at = stop
     new = np.ones(len(runs), bool)
     new[1:] = (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])
     runs, doc = runs[new], doc[new]
     return runs, np.cumsum(np.bincount(doc, minlength=len(texts)))
 
 
-def _slices(b: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[tuple[pa.Array, list]]:
+def _slices(b: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[tuple[pa.Array, list]]:
     """A batch in slices of bounded text."""
     texts, at, n = b.column(1).to_pylist(), 0, 0
     for i, t in enumerate(texts):
@@ -60,7 +63,7 @@ def _slices(b: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[tuple[pa.Arra
 
 def _sketches(batches, words: int, least: int, width: int):
     rng = np.random.default_rng(20)
-    mul, add = (rng.integers(0, 1 << 63, width, dtype=np.uint64) * _U(2) + _U(1) for _ in range(2))
+    mul, add = (rng.integers(0, 1 << 31, width, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
     for b in batches:
         for ids, texts in _slices(b):
             runs, ends = shingles(texts, words, least)
@@ -69,9 +72,10 @@ def _sketches(batches, words: int, least: int, width: int):
             if not len(has):
                 continue
             at = begins[has]
-            low = np.empty((len(has), width), np.uint16)
+            low, top = np.empty((width, len(has)), np.uint32), (runs >> _U(32)).astype(np.uint32)
             for j in range(width):
-                low[:, j] = (_mix(np.minimum.reduceat(runs * mul[j] + add[j], at)) & _U(0xFFFF)).astype(np.uint16)
+                low[j] = np.minimum.reduceat(top * mul[j] + add[j], at)
+            low = (low.T * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
             k1, k2 = np.add.reduceat(_mix(runs), at), np.add.reduceat(_mix(runs ^ _U(0x9E3779B97F4A7C15)), at)
             sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * width), len(has), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
