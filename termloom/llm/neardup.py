@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -99,13 +101,34 @@ def _children(node: np.ndarray, sketch: np.ndarray, branches: int) -> np.ndarray
     return out
 
 
-def _start(batches, trees: int, branches: int, depth: int):
+def missed(similarity: float, trees: int, branches: int, level: int, width: int) -> float:
+    """The share of pairs of a similarity that meet in no node of `level` of any tree; the places of a sketch in which two
+    sets agree vary around their similarity, so it is the mean over them."""
+    out = 0.0
+    for k in range(width + 1):
+        meet = 1.0
+        for _ in range(level):
+            meet = 1 - (1 - k / width * meet) ** branches
+        out += comb(width, k) * similarity**k * (1 - similarity) ** (width - k) * (1 - meet) ** trees
+    return out
+
+
+def trees_for(similarity: float, least: int, branches: int, level: int, width: int, miss: float) -> int:
+    """Trees (`least` at least) of which nodes of `level` miss at most `miss` of the pairs of a similarity."""
+    n = least
+    while missed(similarity, n, branches, level, width) > miss:
+        n += 1
+    return n
+
+
+def _start(batches, first: int, trees: int, branches: int, depth: int):
+    """Rows of the trees from `first` to before `trees`."""
     for b in batches:
         sketch = _grid(b.column(1))
         if not len(sketch):
             continue
-        nodes = np.repeat(_mix(np.arange(1, trees + 1, dtype=_U) * _U(0xA24BAED4963EE407))[None, :], len(sketch), 0).reshape(-1)
-        each = trees
+        nodes = np.repeat(_mix(np.arange(first + 1, trees + 1, dtype=_U) * _U(0xA24BAED4963EE407))[None, :], len(sketch), 0).reshape(-1)
+        each = trees - first
         for _ in range(depth):
             nodes = _children(nodes, np.repeat(sketch, each, 0), branches).reshape(-1)
             each *= branches
@@ -137,32 +160,51 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").hint("shuffle_hash"), "node")
 
 
-def candidate_pairs(reps: DataFrame, kind: str, trees: int, branches: int, depth: int, leaf: int, most: int, block: int = 256) -> DataFrame:
+def candidate_pairs(reps: DataFrame, kind: str, trees: list[int], branches: int, depth: int, leaf: int, most: int, block: int = 256) -> DataFrame:
     """(a, b): distinct pairs that share a leaf of some tree.
 
     Nodes of up to `leaf` rows are compared exhaustively; larger ones branch on. A node that is hardly smaller than the one
     above it (0.7 of its rows or more), or still large at the deepest level `most`, holds rows that agree in most tokens:
     it is cut into blocks of about `block` rows by a hash and every pair of blocks is compared, so nothing is lost, no task
     sees more than two blocks, and a large group of near copies doesn't branch down to the deepest level.
+
+    trees: the number for each level from `depth` to `most`, not falling. Every row has those of `depth`; a row of which
+    some node branches on to a level has the trees of that level too. Two rows that don't both have them were only ever
+    together in nodes that ended before it.
     """
     schema = f"node bigint, rep {kind}"
-    rows = reps.select("rep", "sketch").mapInArrow(lambda b: _start(b, trees, branches, depth), schema).withColumn("above", F.lit(None).cast("long"))
-    leaves = None
-    for level in range(depth, most + 1):
-        rows = written(_counted(rows), f"nodes{level}")
+    leaves: list[DataFrame] = []
+
+    def settled(rows: DataFrame, level: int, name: str) -> DataFrame:
+        """The rows of nodes that branch on; all others go to the leaves."""
+        rows = written(_counted(rows), name)
         large = F.col("size") > leaf
         dense = large & (F.lit(level == most) | F.coalesce(F.col("size") >= 0.7 * F.col("above"), F.lit(False)))
         blocks = F.when(dense, F.ceil(F.col("size") / block)).otherwise(1).cast("int")
         mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
         sides = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), F.when(mine == j, 0).when(mine < j, 1).otherwise(2).alias("side")))
         cut = rows.filter(dense).select("node", "rep", F.explode(sides).alias("p")).select(F.xxhash64("node", "p.i", "p.j").alias("node"), "rep", "p.side")
-        here = rows.filter(~large).select("node", "rep", F.lit(0).alias("side")).unionByName(cut)
-        leaves = here if leaves is None else leaves.unionByName(here)
-        big = rows.filter(large & ~dense)
+        leaves.append(rows.filter(~large).select("node", "rep", F.lit(0).alias("side")).unionByName(cut))
+        return rows.filter(large & ~dense)
+
+    def started(some: DataFrame, first: int, to: int) -> DataFrame:
+        return some.select("rep", "sketch").mapInArrow(lambda b: _start(b, first, to, branches, depth), schema).withColumn("above", F.lit(None).cast("long"))
+
+    def deeper(big: DataFrame) -> DataFrame:
+        return big.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch", "size").mapInArrow(lambda b: _deeper(b, branches), schema + ", above bigint")
+
+    big = settled(started(reps, 0, trees[0]), depth, f"nodes{depth}")
+    for level in range(depth + 1, most + 1):
         if big.isEmpty():
             break
-        rows = big.join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch", "size").mapInArrow(lambda b: _deeper(b, branches), schema + ", above bigint")
-    groups = leaves.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rep", "side"))).alias("g"))  # a leaf, or two blocks at most
+        first, to = trees[level - 1 - depth], trees[level - depth]
+        if to > first:
+            more = started(reps.join(big.select("rep").distinct(), "rep", "left_semi"), first, to)
+            for i in range(depth, level):
+                more = settled(more if i == depth else deeper(more), i, f"nodes{i}of{level}")
+            big = big.unionByName(more)
+        big = settled(deeper(big), level, f"nodes{level}")
+    groups = reduce(DataFrame.unionByName, leaves).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rep", "side"))).alias("g"))  # a leaf, or two blocks at most
     each = groups.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("b"))
     each = each.filter("a.rep < b.rep AND (a.side = 0 OR a.side <> b.side)").select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
     return each.groupBy("a", "b").agg(F.count("*").alias("shared"))
@@ -170,7 +212,7 @@ def candidate_pairs(reps: DataFrame, kind: str, trees: int, branches: int, depth
 
 def near_duplicates(
     docs: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8, least_words: int = 0,
-    trees: int = 8, branches: int = 2, depth: int = 2, leaf: int = 24, most: int = 8, width: int = 64,
+    trees: int = 8, branches: int = 2, depth: int = 2, leaf: int = 24, most: int = 8, width: int = 64, miss: float = 0.0025,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, classes): a chosen-path set similarity join over sets of runs of `words` words.
 
@@ -179,10 +221,12 @@ def near_duplicates(
     set. Texts with under max(words, least_words) words, null and empty ones take part in nothing. Repeated rows count
     once; a key must not have different texts (rows with a null key are left out). Empty tables give empty results. Words are runs of letters and digits of the lower-cased text.
 
-    Every set gets `width` minwise tokens. `trees` independent trees branch each node `branches` ways by tokens at
-    places its hash picks, from `depth` levels on until a node has at most `leaf` rows. A pair of similarity 0.5 meets
-    in a tree of two levels with probability 0.61, so 8 trees miss about one in 2,000, fewer above. Pairs whose
-    sketches agree too little for the threshold (4 standard deviations below) go before the exact check.
+    Every set gets `width` minwise tokens. Independent trees branch each node `branches` ways by tokens at places its
+    hash picks, from `depth` levels on until a node has at most `leaf` rows. A pair meets the seldomer the deeper its
+    nodes go (at similarity 0.5 in a tree of 2, 4, 8 levels with probability 0.61, 0.45, 0.30, and less where its
+    sketches happen to agree less), so each level has the trees by which pairs at the threshold are missed at a rate of
+    `miss` at most (`trees` at least): at 0.5 8, 17, 69 at 2, 4, 8 levels; pairs above it are missed less. Pairs
+    whose sketches agree too little for the threshold (4 standard deviations below) go before the exact check.
     """
     kind = docs.schema[key].dataType.simpleString()
     lean = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -194,7 +238,8 @@ def near_duplicates(
     lowest = max(1, int(width * threshold - 4 * (width * threshold * (1 - threshold)) ** 0.5))
     # n bounds similarity by the ratio of sizes
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    pairs = candidate_pairs(reps, kind, trees, branches, depth, leaf, most).select("a", "b")
+    by_level = [trees_for(threshold, trees, branches, level, width, miss) for level in range(depth, most + 1)]
+    pairs = candidate_pairs(reps, kind, by_level, branches, depth, leaf, most).select("a", "b")
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold)
     pairs = written(pairs.filter(_alike("s_a", "s_b", width, lowest)).select("a", "b"), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

@@ -1,6 +1,6 @@
 import random
 
-from termloom.llm.neardup import document_pairs, near_duplicates
+from termloom.llm.neardup import document_pairs, missed, near_duplicates, trees_for
 
 
 def _texts(r, n=160):
@@ -26,6 +26,11 @@ def _exact(texts, words, threshold, least):
     return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
 
 
+def _similar(a, b):
+    x, y = ({tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
 def test_pairs_equal_brute_force(spark):
     texts = _texts(random.Random(3)) + ["too short", "", None, "   "]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumnRenamed("x", "x")
@@ -60,6 +65,27 @@ def test_large_group_of_near_copies(spark):
     assert links.count() == len(_exact(texts, 3, 0.5, 3)) and classes.count() == 700
 
 
+def test_recall_at_every_level():
+    """Trees of the level keep the share of missed pairs; 8 trees alone don't."""
+    for level in range(2, 9):
+        n = trees_for(0.5, 8, 2, level, 64, 0.0025)
+        assert missed(0.5, n, 2, level, 64) <= 0.0025 and (level == 2) == (n == 8)
+    assert missed(0.5, 8, 2, 8, 64) > 0.1 and trees_for(0.8, 8, 2, 8, 64, 0.0025) == 8
+
+
+def test_group_near_the_threshold(spark):
+    """Every two of 250 texts have a similarity of about 0.5 to 0.55: their nodes branch on, but aren't dense."""
+    r = random.Random(5)
+    parts = [" ".join(f"p{i}x{k}" for k in range(20)) for i in range(160)]
+    texts = [" ".join(p for p in parts if r.random() < 0.7) for _ in range(250)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links, _ = near_duplicates(df, "doc_id", "text", words=3, threshold=0.5, least_words=20)
+    want = _exact(texts, 3, 0.5, 20)
+    near = {(a, b) for a, b in want if _similar(texts[a], texts[b]) <= 0.55}
+    got = {(x.a, x.b) for x in links.collect()}
+    assert got <= want and len(near) > 3_000 and len(got & near) >= 0.995 * len(near)
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "x " * 40)], "doc_id long, text string")
     links, classes = near_duplicates(df, "doc_id", "text")
