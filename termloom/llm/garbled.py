@@ -62,21 +62,35 @@ def cipher(read: str, wrote: str) -> dict[int, str]:
     return {k: v for k, v in out.items() if chr(k) != v and len(v) == 1}
 
 
-@lru_cache(maxsize=None)
-def cipher_codes(read: str, wrote: str) -> np.ndarray:
-    out = np.arange(0x10000, dtype=np.uint32)
-    for k, v in cipher(read, wrote).items():
-        out[k] = ord(v)
+@lru_cache(maxsize=1)
+def cipher_codes() -> np.ndarray:
+    """What every swap puts for every character code of the first plane."""
+    out = np.tile(np.arange(0x10000, dtype=np.uint32), (len(SWAPS), 1))
+    for row, (read, wrote) in zip(out, SWAPS):
+        for k, v in cipher(read, wrote).items():
+            row[k] = ord(v)
     return out
 
 
+@lru_cache(maxsize=1)
+def swap_chars() -> list[frozenset[str]]:
+    """The characters that each swap replaces."""
+    return [frozenset(map(chr, cipher(*x))) for x in SWAPS]
+
+
 _HIGH = re.compile(_set(byte_of("latin")) + "{4,}")
 _SJIS = re.compile(f"(?:{_set(c for c, b in byte_of('latin').items() if 0x81 <= b <= 0x9F or 0xE0 <= b <= 0xFC)}(?:[@-~]|{_set(byte_of('latin'))})){{3,}}")
-_TOKEN = re.compile(r"[^\s\x00-\x40\[-`{-\x7f]+")
 #: Classes of characters of the language model: a few for ASCII, one for ideographs and one for Hangul, else one each.
 _CLASSES = 0x2E80 + 0x200 + 8
 
 
+@lru_cache(maxsize=1)
+def token_chars() -> np.ndarray:
+    """By character code: whether it is of a token (ASCII letters, and all above ASCII but white space)."""
+    token = np.array([c > 0x7F and not chr(c).isspace() or chr(c).isalpha() for c in range(0x3001)])
+    return np.concatenate([token, np.ones(0x110000 - len(token), bool)])
+
+
 @lru_cache(maxsize=1)
 def class_of() -> np.ndarray:
     k = np.full(0x110000, 7, np.int32)  # others
@@ -108,7 +122,7 @@ class Model:
         uni = (n.sum(0) + 0.02) / (n.sum() + 0.02 * len(n))
         rows = n.sum(1, keepdims=True)
         self.log = np.log((n + 4 * uni) / (rows + 4)).astype(np.float32)
-        self.rare = {}
+        self.rare, self.by_code = {}, None
         for k in (5, 6, 7):
             total = sum(c for x, c in chars.items() if class_of()[x] == k)
             self.rare[k] = {x: float(np.log((c + 0.05) / (total + 500))) for x, c in chars.items() if class_of()[x] == k} | {-1: float(np.log(0.05 / (total + 500)))}
@@ -123,15 +137,27 @@ class Model:
     def odds(self, source: str | None, h: int) -> float:
         return self.prior.get((source, h), self.prior[None, h])
 
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """By character code: the slot, and the log probability within its class."""
+        if self.by_code is None:
+            k = class_of()
+            own = np.zeros(len(k))
+            for c, d in self.rare.items():
+                own[k == c] = d[-1]
+                for x, v in d.items():
+                    if x >= 0:
+                        own[x] = v
+            self.by_code = self.slot[k], own
+        return self.by_code
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"by_code": None}
+
     def steps(self, x: np.ndarray) -> np.ndarray:
-        """Log probability of every character code after the first."""
-        k = class_of()[x]
-        at = self.slot[k]
-        out = self.log[at[:-1], at[1:]].astype(np.float64)
-        for i in np.flatnonzero((k[1:] >= 5) & (k[1:] <= 7)):
-            d = self.rare[k[i + 1]]
-            out[i] += d.get(int(x[i + 1]), d[-1])
-        return out
+        """Log probability of every character code after the first (of the last axis)."""
+        slot, own = self.codes()
+        at = slot[x]
+        return self.log[at[..., :-1], at[..., 1:]] + own[x[..., 1:]]
 
     def sums(self, s: str) -> np.ndarray:
         """sums[b + 1] - sums[a]: log probability of s[a:b] and of what follows it, given what stands before."""
@@ -217,45 +243,53 @@ def _wide(s: str):
                 yield len(SWAPS) + WIDE.index(name), runs
 
 
-#: What a swap of single bytes leaves behind: letters of odd cases within words, signs within words, rows of accents.
+#: What most swaps of single bytes leave behind: letters of odd cases within words, signs within words, rows of accents. They
+#: are evidence, no condition: without them a swap has to gain more than its full odds.
 _SWAP_SIGNS = re.compile(r"[а-яё][А-ЯЁ]|[А-ЯЁ]{2}|[Ѐ-ЏѐѓѕѓєѕіїјљњћќўџґҐ]|[─-▟]|[√¬’“”¤®©№°±≤≥¶§][а-яё]|[а-яё][√¬¤®©№°±≤≥¶§€]|[À-ÿ]{3}|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]|[A-Za-z][¡-¿ƒ„…†‡ˆ‰Š‹ŒŽš›œžŸˆ˜∂∏π∫Ωαßγδε∞φ∩≡Γπ⌠⌡ⁿ■][a-z]")
 
 
-def _swapped(s: str, m: Model, sums: np.ndarray, chars: set[str]):
-    """(swap, runs) of substitution ciphers: neighbouring tokens on which the swap gains, joined while their sum lasts."""
-    tokens = [(t.start(), t.end()) for t in _TOKEN.finditer(s) if not t.group().isascii()]
-    codes = {ord(c) for c in chars}
+def _swapped(s: str, m: Model, chars: set[str]):
+    """(swap, runs) of substitution ciphers: neighbouring tokens on which the swap gains, joined while their sum lasts.
+
+    Every swap that replaces some character of the text is weighed, all at once, on the tokens that aren't ASCII; those
+    whose gains don't come to the least that a run must have are out.
+    """
+    tried = [h for h, c in enumerate(swap_chars()) if not c.isdisjoint(chars)]
+    if not tried:
+        return
     x = _codes("\n" + s + "\n")
-    low = np.minimum(x, 0xFFFF)
-    for h, (read, wrote) in enumerate(SWAPS):
-        key = cipher(read, wrote)
-        if not tokens or not codes & key.keys():
-            continue
-        diff = m.code_sums(np.where(x > 0xFFFF, x, cipher_codes(read, wrote)[low])) - sums
+    inside, high = token_chars()[x], np.cumsum(x > 0x7F)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    b, e = edges[::2], edges[1::2]
+    b, e = (y[high[e] > high[b]] for y in (b, e))
+    if not len(b):
+        return
+    sizes = e - b + 2  # with a character on either side
+    ends = np.cumsum(sizes)
+    x = x[np.arange(ends[-1]) + np.repeat(b - (ends - sizes), sizes)]
+    new = np.where(x > 0xFFFF, x, cipher_codes()[np.array(tried)[:, None], np.minimum(x, 0xFFFF)])
+    steps = m.steps(new) - m.steps(x)
+    steps[:, ends[:-1] - 1] = 0  # from one token to the next
+    gains = np.add.reduceat(steps, ends - sizes, axis=1)
+    for i in np.flatnonzero(np.maximum(gains, 0).sum(1) > 6):
+        h = tried[i]
+        key = cipher(*SWAPS[h])
         runs: list[tuple[int, int, str]] = []
         start, stop, total, top = 0, 0, 0.0, 0.0
-        for b, e in [*tokens, (0, 0)]:
-            g = float(diff[e + 1] - diff[b]) if e else -1e9
+        for begin, end, g in zip([*b.tolist(), 0], [*e.tolist(), 0], [*gains[i].tolist(), -1e9]):
             if top > 0 and total + g < max(0.0, top - 12):
                 if top > 6 and stop - start > 2:
                     runs.append((start, stop, s[start:stop].translate(key)))
                 total = top = 0.0
             if total <= 0:
-                start, total, top = b, 0.0, 0.0
+                start, total, top = begin, 0.0, 0.0
             total += g
             if total > top:
-                top, stop = total, e
+                top, stop = total, end
         if runs:
             yield h, runs
 
 
-#: Signs by which a text may be garbled at all: with none of them nothing is tried.
-_SIGNS = re.compile(
-    r"[\x80-\x9f─-▟�]|[¡-ɏ€ƒ‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ√∂∏π∫Ω][\u0080-¿€ƒ‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ√∂∏π∫Ω◊∆≈∞±≤≥¥µªº]|[√¬‚„‡ΓÔ‰][¡-ɏ‚„†]|[À-ÿ]{3}|[Ͱ-ӿ]"
-    r"|[A-Za-z][¡-¿ƒ„…†‡ˆ‰Š‹ŒŽš›œžŸ˜∂∏π∫Ωαγδε∞φ∩≡Γ⌠⌡ⁿ■][a-z]"
-)
-
-
 def restore(s: str, m: Model, source: str | None, rounds: int = 6) -> tuple[str, list[int]]:
     """(text given back as far as it can be, the swaps undone; -1 stands for lost characters).
 
@@ -263,19 +297,15 @@ def restore(s: str, m: Model, source: str | None, rounds: int = 6) -> tuple[str,
     the text, its runs that look slightly less likely go too.
     """
     used: list[int] = []
-    if s.isascii() or not _SIGNS.search(s):
+    if s.isascii():
         return s, used
-    swaps = True
     for _ in range(rounds):
         chars = {c for c in set(s) if c > "\x7f"}
         best = None
         sums = None
+        signs = None
         for family in ("utf8", "wide", "swap"):
-            if family == "swap" and (swaps := swaps and bool(_SWAP_SIGNS.search(s))) is False:
-                continue
-            if family != "utf8" and sums is None:
-                sums = m.sums(s)
-            for h, runs in _utf8(s, chars) if family == "utf8" else _wide(s) if family == "wide" else _swapped(s, m, sums, chars):
+            for h, runs in _utf8(s, chars) if family == "utf8" else _wide(s) if family == "wide" else _swapped(s, m, chars):
                 if sums is None:
                     sums = m.sums(s)
                 g = m.gains(s, sums, runs)
@@ -283,7 +313,10 @@ def restore(s: str, m: Model, source: str | None, rounds: int = 6) -> tuple[str,
                     g = g + 2.0 * np.array([len(new) for _, _, new in runs])
                 evidence = g[g > 0].sum()
                 keep = g > (-6 if evidence > 10 and family == "utf8" else 0)
-                total = float(g[keep].sum()) + max(m.odds(source, h), -5)
+                odds = m.odds(source, h)
+                if family == "swap" and signs is None:
+                    signs = bool(_SWAP_SIGNS.search(s))
+                total = float(g[keep].sum()) + (max(odds, -5) if family != "swap" or signs else odds)
                 if total > 0 and (best is None or total > best[0]):
                     best = total, h, [r for r, k in zip(runs, keep) if k]
         if best is None:

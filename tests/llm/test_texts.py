@@ -94,3 +94,56 @@ def test_garbled_round_trip(spark):
     whole = [i for i in bad if "�" not in dict((a, b) for a, b, _ in rows)[i]]
     assert sum(got[i].text_fixed == bad[i] for i in whole) >= 0.95 * len(whole)
     assert got[903].swaps == ["lost"]
+
+
+_CLEAN = {
+    "latin": "Der südliche Prüfer öffnet die große Straße. Le marché privé a été réparé à Genève, ça va. El camión añadió más según el artículo único. Der Bär hörte über Fußwege. L’été, le père a créé la façade.",
+    "cyrillic": "Годовой договор для завода был закрыт. Был ли архив измерен до марта. Цена выросла на склад, а завод закрыт.",
+    "greek": "Το λιμάνι και η αποθήκη έκλεισαν. Η γέφυρα μετρήθηκε και η τιμή ανέβηκε.", "hebrew": "הנמל נסגר והמחסן נמכר. הגשר נמדד והמחיר עלה.",
+    "arabic": "الميناء مغلق والمخزن مباع. الجسر مقاس والسعر مرتفع.", "thai": "ท่าเรือปิดและโกดังขายแล้ว สะพานวัดแล้วและราคาขึ้น",
+}
+
+
+def _small_model(*more):
+    pairs, chars = G.count_pairs([t for t in [*_CLEAN.values(), *more] for _ in range(300)])
+    return G.Model(dict(pairs), dict(chars), {}, {"s": 1_800})
+
+
+def _read(text, wrote, read):
+    """text written in one encoding and read in another, None if some byte has no character."""
+    of = {b: c for c, b in G.byte_of(read).items()}
+    try:
+        return "".join(of[b] if b > 127 else chr(b) for b in text.encode(wrote))
+    except (UnicodeEncodeError, KeyError):
+        return None
+
+
+def test_every_page_is_tried():
+    """One letter in UTF-8 read as each page, and nothing else that looks wrong."""
+    m = _small_model()
+    for page in G.READ_AS:
+        tried = 0
+        for t in ("The Prüfer is in", "The große one", "The camión is in", "The único one", "The marché is in", "The façade is in", "The père is in", "The Bär is in"):
+            w = _read(t, "utf-8", page)
+            if w is not None:
+                tried += 1
+                assert G.restore(w, m, "s")[0] == t, (page, t, w)
+        assert tried > 3, page
+
+
+def test_every_swap_is_tried():
+    """One damaged letter of Latin script, or one damaged word of another script, for each swap."""
+    small = _small_model()
+    words = {"cp1251": "договор", "koi8_r": "договор", "cp866": "договор", "mac_cyrillic": "договор", "iso8859_5": "договор", "cp1256": "الميناء", "iso8859_6": "الميناء", "cp874": "ท่าเรือปิดและโกดังขายแล้ว", "cp1253": "αποθήκη", "cp1255": "והמחסן"}
+    for read, wrote in G.SWAPS:
+        word = words.get(wrote)
+        if {read, wrote} == {"cp1251", "mac_cyrillic"}:  # the same small letters
+            word, m = word.upper(), _small_model("ДОГОВОР ЗАКРЫТ")
+        else:
+            m = small
+        latin = ["marché", "père", "Bär", "camión", "façade"] + ["Straße"] * (wrote != "cp437")  # cp437 ß is latin á, as likely in a word
+        given = [f"12 {word} 34"] if word else [f"The {x} is in" for x in latin]
+        bad = [(t, w) for t in given if (w := _read(t, wrote, read)) and w != t]
+        assert bad, (read, wrote)
+        for t, w in bad:
+            assert G.restore(w, m, "s")[0] == t, (read, wrote, t, w, G.restore(w, m, "s"))
