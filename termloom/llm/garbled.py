@@ -50,6 +50,12 @@ def utf8_runs(page: str) -> tuple[re.Pattern, frozenset[str], frozenset[str]]:
     return re.compile(f"(?:{by(0xC2, 0xDF)}{c}|{by(0xE0, 0xEF)}{c}{c}|{by(0xF0, 0xF4)}{c}{c}{c})+"), frozenset(c for c, x in of.items() if 0xC2 <= x <= 0xF4), frozenset(c for c, x in of.items() if x < 0xC0)
 
 
+@lru_cache(maxsize=None)
+def own_chars(page: str) -> frozenset[str]:
+    """The leading and other characters of UTF-8 sequences in a page that are another byte, or none, in latin."""
+    return frozenset(c for c, b in byte_of(page).items() if b <= 0xF4 and byte_of("latin").get(c) != b)
+
+
 @lru_cache(maxsize=None)
 def cipher(read: str, wrote: str) -> dict[int, str]:
     """What to put for every character of a swap, for translate()."""
@@ -212,7 +218,7 @@ def _utf8(s: str, chars: set[str]):
         pattern, lead, rest = utf8_runs(page)
         if not (lead & chars and rest & chars):
             continue
-        if page in ("cp1250", "cp1254") and not chars & (lead - utf8_runs("latin")[1]):
+        if page in ("cp1250", "cp1254") and own_chars(page).isdisjoint(chars):
             continue  # reads as latin does
         of, runs = byte_of(page), []
         for r in pattern.finditer(s):

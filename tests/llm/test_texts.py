@@ -147,3 +147,14 @@ def test_every_swap_is_tried():
         assert bad, (read, wrote)
         for t, w in bad:
             assert G.restore(w, m, "s")[0] == t, (read, wrote, t, w, G.restore(w, m, "s"))
+
+
+def test_quotes_in_another_page():
+    """Curly quotes in UTF-8 read as cp1250 or cp1254: the leading character is as in latin, others aren't."""
+    m = _small_model("He said “yes” to it – the harbor’s fee is 5 € now, the word “žal” too.")
+    for page in ("cp1250", "cp1254"):
+        for t in ("He said “yes", "The harbor’s fee – shut", "The price is 5 € now", "The word “žal"):
+            if (w := _read(t, "utf-8", page)) is not None:
+                assert G.restore(w, m, "s")[0] == t, (page, t, w)
+    quoted = _read("He said “yes” to it", "utf-8", "cp1250")
+    assert quoted == "He said â€śyesâ€ť to it" and G.restore(quoted, m, "s")[0] == "He said “yes” to it"
