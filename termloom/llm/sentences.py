@@ -313,8 +313,8 @@ def sentence_units(docs: DataFrame, key: str, text: str, sample: int = 3_000, ty
     """(key, sent_start, sent_end): a row per sentence of every text.
 
     Null, empty and blank texts and texts without letters give no rows; repeated rows give repeated rows; other columns
-    are not read. Counts of token types before and after marks cover all texts; to broadcast, only types with `seen`
-    occurrences and at least 1/types of all are kept, so never more than `types`. The classifier is fitted on at most
+    are not read. Counts of token types before and after marks cover all texts; to broadcast, of the types with `seen`
+    occurrences the `types` most frequent are kept, and all others count as never seen. The classifier is fitted on at most
     `sample` texts, those with the smallest hash of their key; every text is split.
     """
     kind = docs.schema[key].dataType.simpleString()
