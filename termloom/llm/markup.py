@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from termloom.session import table
 
@@ -450,10 +450,20 @@ def structure(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lean.mapInArrow(run, f"id {kind}, elems array<string>, text_clean string").withColumnRenamed("id", key)
 
 
+def numbered(elems: Column) -> Column:
+    """An array (elem, elem_no) of an array of elements in text order: numbers count from 1 within each kind. An empty array
+    gives (none, 0)."""
+    def of(kind: str) -> Column:
+        return F.transform(F.filter(elems, lambda x: x == kind), lambda x, i: F.struct(x.alias("elem"), (i + 1).cast("int").alias("elem_no")))
+
+    none = F.array(F.struct(F.lit("none").alias("elem"), F.lit(0).alias("elem_no")))
+    return F.when(F.size(elems) == 0, none).otherwise(F.concat(*map(of, LABELS[1:5])))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The elements of the documents with markup, each kind numbered by itself; `none` where there is no element."""
     s = structure(table(spark, d, "documents"), "doc_id", "text")
-    rows = s.select("doc_id", F.posexplode_outer("elems").alias("pos", "elem"))
-    return rows.select("doc_id", F.coalesce("elem", F.lit("none")).alias("elem"), F.coalesce(F.col("pos") + 1, F.lit(0)).cast("int").alias("elem_no"))
+    return s.select("doc_id", F.explode(numbered(F.col("elems"))).alias("e")).select("doc_id", "e.elem", "e.elem_no")
 
 
 def p6_text(spark: SparkSession, d: str) -> DataFrame:

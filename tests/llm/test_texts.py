@@ -158,3 +158,12 @@ def test_quotes_in_another_page():
                 assert G.restore(w, m, "s")[0] == t, (page, t, w)
     quoted = _read("He said “yes” to it", "utf-8", "cp1250")
     assert quoted == "He said â€śyesâ€ť to it" and G.restore(quoted, m, "s")[0] == "He said “yes” to it"
+
+
+def test_elements_are_numbered_by_kind(spark):
+    """Two kinds interleaved: each counts for itself; none where there is no element."""
+    rows = [(1, "# A\n\n- x\n- y\n\n# B\n\n- z\n- w\n\ntext"), (2, "only <b>bold")]
+    s = M.structure(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    got = s.select("doc_id", M.F.explode(M.numbered(M.F.col("elems"))).alias("e")).select("doc_id", "e.elem", "e.elem_no")
+    want = {(1, "heading", 1), (1, "heading", 2), (1, "list_item", 1), (1, "list_item", 2), (1, "list_item", 3), (1, "list_item", 4), (2, "none", 0)}
+    assert {tuple(r) for r in got.collect()} == want
