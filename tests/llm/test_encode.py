@@ -35,6 +35,37 @@ def test_long_texts_equal_the_library(spark):
     assert E.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_texts_join_exactly():
+    """Parts cut anywhere and joined give the encoding of the whole."""
+    enc, r = E.byte_bpe(), random.Random(2)
+    units = ["a", "b", "é", "漢", " ", "  ", "\n", "'s", "'", "1", "23", ".", ",", "😀", "\u0301", "\t", "x'"]
+    for _ in range(400):
+        t = "".join(r.choice(units) for _ in range(r.randint(1, 300)))
+        for part in (8, 50):
+            assert E.encode_text(enc, t, 1024, part).tolist() == enc.encode_ordinary(t), t
+    for t in ("a" * 3000, "漢" * 2000, " " * 900 + "x", "a" * 700 + "1" * 700 + "." * 700):
+        assert E.encode_text(enc, t, 64, 256).tolist() == enc.encode_ordinary(t)
+
+
+def test_repeated_long_rows_and_null_keys(spark):
+    r = random.Random(6)
+    long = " ".join("".join(r.choice("abcdeé漢") for _ in range(r.randint(1, 9))) for _ in range(9000))
+    rows = [(1, long), (1, long), (1, "short"), (1, "short"), (None, long[:20_000]), (None, long[20_000:]), (2, long[:16_385])]
+    enc = E.byte_bpe()
+    want = sorted((str(k), enc.encode_ordinary(t)) for k, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.lit(0))
+    assert sorted((str(x.doc_id), x.ids) for x in E.encode_corpus(df, "doc_id", "text").collect()) == want
+    assert sorted((str(x.doc_id), x.n_ids) for x in E.encode_corpus(df, "doc_id", "text", count=True).collect()) == sorted((k, len(v)) for k, v in want)
+
+
+def test_one_stretch_of_a_megabyte(spark):
+    """A stretch that nothing splits, by byte slices over several tasks, against the whole tokenizer."""
+    r = random.Random(8)
+    t = "x " + "".join(r.choice("etaoinshrdlu") for _ in range(1_100_000)) + " y"
+    got = E.encode_corpus(spark.createDataFrame([(1, t)], "doc_id long, text string"), "doc_id", "text").first().ids
+    assert E.byte_bpe().decode(got) == t and got == E.byte_bpe().encode_ordinary(t)
+
+
 def test_plan_holds_all_items():
     r = random.Random(7)
     for lengths in ((64,), (16, 32, 64)):
