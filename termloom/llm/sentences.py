@@ -6,12 +6,14 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from termloom.session import table
+from termloom.operators.skew import with_key_stat
+from termloom.session import table, written
 
 END = ".!?…。！？｡।॥؟۔"
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "‹": "›", "《": "》", "【": "】"}
@@ -20,7 +22,7 @@ _MARKS = re.compile(r'[“”„«»「」『』（）()\[\]‹›《》【】"]
 _STOP = re.compile(rf"[{END}]+")
 _THAI = re.compile(r"(?<=[ก-ฮะ-ฺเ-๎])\s+(?=[ก-ฮเ-ไ])")
 _BLANK = re.compile(r"\r?\n[^\S\n]*\n\s*")
-_INNER = re.compile(r"[!?…。！？।؟]")
+_INNER = frozenset("!?…。！？।؟")
 _WORD = re.compile(r"[^\W_]+")
 #: Common abbreviations before a name or a number, and those that may also end a sentence; fixed values.
 BEFORE = frozenset("mr mrs ms dr dra sr sra prof capt sgt lt col gen rev hon mt st no nos fig figs vol art pp p ch sec eq cf vs e.g i.e approx ca abs nr bd vgl z s bzw núm pág p.ej m mme mlle n env ex al т ул г. д стр рис см гл др д-р डॉ सं श्री د م أ".split())
@@ -59,8 +61,12 @@ def _shape(w: str) -> str:
 
 
 def _kind(w: str) -> str:
-    """The type a token counts as: lower case, digits as one sign."""
-    return "9" if w[:1].isdigit() else w.lower()[-24:]
+    """The type a token counts as: lower case, digits as one sign; long ones (clauses of scripts without spaces) by a hash of
+    the whole."""
+    if w[:1].isdigit():
+        return "9"
+    w = w.lower()
+    return w if len(w) <= 24 else "#" + blake2b(w.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
 def _open_spans(s: str) -> list[tuple[int, int]]:
@@ -125,10 +131,12 @@ def _candidates(s: str) -> Iterator[tuple[int, int, str, int, bool, bool]]:
 
 def _before(s: str, i: int) -> str:
     k = i
-    while k and not s[k - 1].isspace() and i - k < 40:
+    while k and not s[k - 1].isspace() and s[k - 1] not in _INNER:  # what ends at a mark without a space after it is another token
         k -= 1
-    w = s[k:i].lstrip("([{“„«\"'‘¿¡「（").rstrip("”»\"')]}」）")
-    w = _INNER.split(w)[-1]  # what stands before a mark without a space after it is another token
+    w = s[k:i]
+    if not k or s[k - 1].isspace():
+        w = w.lstrip("([{“„«\"'‘¿¡「（")
+    w = w.rstrip("”»\"')]}」）")
     head, _, tail = w.rpartition(".")
     return tail if tail and len(head) > 3 and head.isalpha() else w
 
@@ -137,18 +145,18 @@ def _after(s: str, n: int) -> str:
     if _script(s[n : n + 1] or "-") in "HKT":  # no spaces: one character
         return s[n]
     m = _WORD.match(s, n)
-    return m.group()[:24] if m else s[n : n + 1]
+    return m.group() if m else s[n : n + 1]
 
 
 class Stats:
     """How often a token type stands before a mark that ends a paragraph (ends) or not (mids), and begins a paragraph or
-    follows a mark inside one."""
+    follows a mark inside one. rates: the share of ends, and of begins, among all such types; the types need be no more than those of
+    the texts at hand. Types with under `seen` occurrences tell nothing."""
 
-    def __init__(self, rows: list[tuple[str, str, int, int]]) -> None:
-        self.prev = {t: (a, b) for side, t, a, b in rows if side == "p"}
-        self.next = {t: (a, b) for side, t, a, b in rows if side == "n"}
-        total = lambda d: sum(a for a, _ in d.values()) / max(1, sum(a + b for a, b in d.values()))
-        self.rate = max(0.02, total(self.prev)), max(0.02, total(self.next))
+    def __init__(self, rows: list[tuple[str, str, int, int]], rates: tuple[float, float], seen: int = 4) -> None:
+        self.prev = {t: (a, b) for side, t, a, b in rows if side == "p" and a + b >= seen}
+        self.next = {t: (a, b) for side, t, a, b in rows if side == "n" and a + b >= seen}
+        self.rate = tuple(max(0.02, r) for r in rates)
 
     def bucket(self, side: int, kind: str) -> str:
         """-2 and -1: on the sure side too seldom for chance; 1: often enough; 0: unknown."""
@@ -309,13 +317,26 @@ def split(text: str | None, stats: Stats, weights: dict[str, float]) -> list[tup
     return out
 
 
-def sentence_units(docs: DataFrame, key: str, text: str, sample: int = 3_000, types: int = 50_000, seen: int = 4) -> DataFrame:
+def needed(text: str) -> set[tuple[str, str]]:
+    """The (side, type) whose counts split looks at in a text."""
+    out = set()
+    for _, p in paragraphs(text):
+        for c in _candidates(p):
+            if c[3] < len(p) and not c[4]:
+                nxt = _after(p, c[3])
+                out |= {("p", _kind(_before(p, c[0]))), ("n", _kind(nxt)), ("n", _kind(_after(p, c[3] + 1)))}
+    return out
+
+
+def sentence_units(docs: DataFrame, key: str, text: str, sample: int = 3_000, seen: int = 4, small: int = 1_000_000) -> DataFrame:
     """(key, sent_start, sent_end): a row per sentence of every text.
 
     Null, empty and blank texts and texts without letters give no rows; repeated rows give repeated rows; other columns
-    are not read. Counts of token types before and after marks cover all texts; to broadcast, of the types with `seen`
-    occurrences the `types` most frequent are kept, and all others count as never seen. The classifier is fitted on at most
-    `sample` texts, those with the smallest hash of their key; every text is split.
+    are not read. Counts of token types before and after marks cover all texts; a type with under `seen` occurrences tells
+    nothing. The classifier is fitted on at most `sample` texts, those with the smallest hash of their key; every text is split.
+
+    The counts are broadcast if there are at most `small` types; else every text gets those of its own types by joins, with
+    the types of many texts apart. Both give the same rows.
     """
     kind = docs.schema[key].dataType.simpleString()
     lean = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
@@ -332,19 +353,55 @@ def sentence_units(docs: DataFrame, key: str, text: str, sample: int = 3_000, ty
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*((s, w, n[s, w, 0], n[s, w, 1]) for s, w in keys)), (pa.string(), pa.string(), pa.int64(), pa.int64()))] if keys else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())], ["side", "type", "sure", "other"])
 
     counts = lean.select("text").mapInArrow(count, "side string, type string, sure bigint, other bigint")
-    per = counts.groupBy("side", "type").agg(F.sum("sure").alias("sure"), F.sum("other").alias("other"))
-    n = F.col("sure") + F.col("other")
-    stats = Stats([tuple(r) for r in per.filter(n >= seen).orderBy(n.desc(), "side", "type").limit(types).collect()])
-    few = lean.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(sample).select("text").collect()
-    weights = train([r[0] for r in few], stats)
+    counts = written(counts.groupBy("side", "type").agg(F.sum("sure").alias("sure"), F.sum("other").alias("other")), "types")
+    counts = counts.filter(F.col("sure") + F.col("other") >= seen)
+    total = {r.side: r.sure / max(1, r.n) for r in counts.groupBy("side").agg(F.sum("sure").alias("sure"), F.sum(F.col("sure") + F.col("other")).alias("n")).collect()}
+    rates = total.get("p", 0.0), total.get("n", 0.0)
+    few = [r[0] for r in lean.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(sample).select("text").collect()]
+    broadcast = counts.count() <= small
+    if broadcast:
+        rows = [tuple(r) for r in counts.collect()]
+    else:
+        mine = lean.sparkSession.createDataFrame(sorted(_sample_types(few)), "side string, type string")  # bounded by the sample
+        rows = [tuple(r) for r in counts.join(F.broadcast(mine), ["side", "type"]).collect()]
+    stats = Stats(rows, rates, seen)
+    weights = train(few, stats)
+    out = f"id {kind}, sent_start int, sent_end int"
 
     def units(batches):
         for b in batches:
-            spans = [split(t, stats, weights) for t in b.column(1).to_pylist()]
+            given = b.column(2).to_pylist() if b.num_columns > 2 else None
+            spans = [split(t, stats if given is None else Stats([tuple(x.values()) for x in given[i] or []], rates, seen), weights) for i, t in enumerate(b.column(1).to_pylist())]
             ids = b.column(0).take(pa.array(np.repeat(np.arange(len(spans)), [len(x) for x in spans]).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[i] for y in spans for x in y], pa.int32()) for i in (0, 1))], ["id", "sent_start", "sent_end"])
 
-    return lean.mapInArrow(units, f"id {kind}, sent_start int, sent_end int").withColumnRenamed("id", key)
+    if broadcast:
+        return lean.mapInArrow(units, out).withColumnRenamed("id", key)
+
+    def needs(batches):
+        for b in batches:
+            rows = [(u, s + t) for u, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s, t in needed(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["uid", "what"])
+
+    texts = written(lean.withColumn("uid", F.monotonically_increasing_id()), "texts")  # the numbers are fixed
+    wanted = written(texts.select("uid", "text").mapInArrow(needs, "uid bigint, what string"), "wanted")
+    known = counts.select(F.concat("side", "type").alias("what"), "side", "type", "sure", "other")
+    known = written(known.join(wanted.groupBy("what").agg(F.count("*").alias("uses")), "what"), "known")
+    got = with_key_stat(wanted, known, "what", "uses").groupBy("uid").agg(F.collect_list(F.struct("side", "type", "sure", "other")).alias("types"))  # of one text
+    return texts.join(got, "uid", "left").select("id", "text", "types").mapInArrow(units, out).withColumnRenamed("id", key)
+
+
+def _sample_types(texts: list[str]) -> set[tuple[str, str]]:
+    """The types that train looks at: those of the paragraphs, and of each joined with the next."""
+    paras = [p.strip() for t in texts for _, p in paragraphs(t) if p.strip()]
+    out = set().union(*map(needed, texts)) if texts else set()
+    for k, p in enumerate(paras):
+        follow = paras[(k + 1) % len(paras)]
+        for j in (i for c in _candidates(p) for i in (c[3], c[3] + 1) if i < len(p)):
+            out.add(("n", _kind(_after(p, j))))
+        out |= {("p", _kind(_before(p, c[0]))) for c in _candidates(p)}
+        out |= {("n", _kind(_after(follow, j))) for j in (0, 1) if j < len(follow)}
+    return out
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

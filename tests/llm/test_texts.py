@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from termloom.llm import garbled as G, markup as M, sentences as S
 
 
@@ -39,6 +41,15 @@ def test_sentences_held_out(spark):
     assert not {9001, 9002, 9003} & got.keys()
     assert got[9004] == ["One here", "Two\nthere"] and got[9005] == ["กขค", "งจฉ 12 กขค"]
     assert S.sentence_units(df.limit(0), "passage_id", "text").count() == 0
+    both = df.unionByName(df.limit(3)).withColumn("uid", F.lit("clash"))  # repeated rows, and a name used inside
+    one, other = (Counter(map(tuple, S.sentence_units(both, "passage_id", "text", small=k).collect())) for k in (10**6, 0))
+    assert one == other and max(one.values()) == 2  # counts broadcast or joined
+
+
+def test_long_types_count_as_wholes():
+    a, b = "x" * 40, "y" + "x" * 39
+    assert S._kind(a) != S._kind(b) and len(S._kind(a)) < 40 and S._kind("Dr") == "dr"
+    assert S._before("“字" + "字" * 60 + "。」字字", 66) == "」字字" and S._before("a" * 60 + ".", 60) == "a" * 60
 
 
 def test_markup_held_out():
