@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Endings by step as the paper has them; fixed values.
-_STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
-_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
+STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
 def _shape(w: str) -> str:
@@ -61,10 +61,10 @@ def stem(word: str) -> str:
             w += "e"
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    for ends in (_STEP2, _STEP3):
+    for ends in (STEP2, STEP3):
         if (e := _longest(w, ends)) and _measure(w[: len(w) - len(e[0])]) > 0:
             w = w[: len(w) - len(e[0])] + e[1]
-    if e := _longest(w, [(x, "") for x in _STEP4]):
+    if e := _longest(w, [(x, "") for x in STEP4]):
         base = w[: len(w) - len(e[0])]
         if _measure(base) > 1 and (e[0] != "ion" or base.endswith(("s", "t"))):
             w = base

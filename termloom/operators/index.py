@@ -11,6 +11,7 @@ from termloom.functions.porter import stem_column
 from termloom.functions.tokens import DEFAULT_CHAIN, apply_filters, tok
 from termloom.operators.dates import dates
 from termloom.operators.phrases import phrases
+from termloom.operators.skew import chunked, with_key_stat, without
 from termloom.session import written
 
 TYPES = ("single-term", "single-term-positional", "stemmed", "phrase")
@@ -71,9 +72,12 @@ def run_chain(tokens: DataFrame, chain: list[str], stopwords: DataFrame | None =
         elif name == "phrases":
             return phrases(t).select("doc_id", "pos", F.lit(0).alias("sub"), F.col("phrase").alias("term"), F.lit(True).alias("final"))
         elif name == "stopwords":
-            t = t.filter("final").unionByName(t.filter("NOT final").join(stopwords.select("term").distinct(), "term", "left_anti").select(*t.columns))
+            t = without(t, stopwords, "term", unless=F.col("final")).select(*t.columns)
         else:
-            t = t.withColumn("term", F.when(F.col("final"), F.col("term")).otherwise(stem_column(F.col("term")))).withColumn("final", F.lit(True))
+            open_ = t.filter(~F.col("final") & F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("__n"))
+            known = written(open_.withColumn("__stem", stem_column(F.col("term"))), "stems")  # every distinct term once
+            done = with_key_stat(t.filter(~F.col("final")), known, "term", "__n").withColumn("term", F.col("__stem")).select(*t.columns)
+            t = done.unionByName(t.filter("final")).withColumn("final", F.lit(True))
     t = flush(t)
     return t.select("doc_id", "pos", F.col("__o").alias("sub"), "term", "final")
 
@@ -98,6 +102,12 @@ def lexicon(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
+def document_lengths(postings: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, docno, ord, term_count): the document table without what only depends on the order of insertion."""
+    per = postings.groupBy("doc_id").agg(F.sum("tf").alias("term_count"))
+    return names.select("doc_id", "docno", "ord").join(per, "doc_id", "left").fillna(0, ["term_count"])
+
+
 def document_table(postings: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, docno, ord, term_count, max_tf, norm2) for documents (doc_id, docno, ord); names must have a row per document.
 
@@ -126,10 +136,11 @@ def online_weights(postings: DataFrame, names: DataFrame) -> DataFrame:
     return p.select("doc_id", "term", "tf", (F.col("tf") * F.log((F.col("ord") - j + 0.5) / (j + 0.5))).alias("weight"), (F.col("__s") + F.col("__t0")).alias("seen"))
 
 
-def build_index(tokens: DataFrame, names: DataFrame, kind: str = "single-term", stopwords: DataFrame | None = None, chain: list[str] | None = None, phrase_len: int = 2, phrase_limit: float = 0.2) -> Index:
+def build_index(tokens: DataFrame, names: DataFrame, kind: str = "single-term", stopwords: DataFrame | None = None, chain: list[str] | None = None, phrase_len: int = 2, phrase_limit: float = 0.2, norms: bool = True) -> Index:
     """An index of tokens (doc_id, pos, term, seg, final) and documents (doc_id, docno, ord).
 
-    The four kinds differ in chain and positions; `chain` overrides the chain. Phrase indexes do no other normalising.
+    The four kinds differ in chain and positions; `chain` overrides the chain. Phrase indexes do no other normalising. Without
+    `norms` documents have no weights and no greatest tf: enough for all rankers but COSINE.
     """
     chain = chain_of(kind, stopwords is not None) if chain is None else chain
     if chain[:1] == ["phrases"]:
@@ -137,7 +148,7 @@ def build_index(tokens: DataFrame, names: DataFrame, kind: str = "single-term",
     else:
         terms = run_chain(tokens, chain, stopwords)
     p = postings_of(terms, kind == "single-term-positional")
-    return Index(p, document_table(p, names), {"type": kind, "chain": chain, "phrase_len": phrase_len, "phrase_limit": phrase_limit})
+    return Index(p, (document_table if norms else document_lengths)(p, names), {"type": kind, "chain": chain, "phrase_len": phrase_len, "phrase_limit": phrase_limit})
 
 
 def prune_hard(postings: DataFrame, p: int) -> DataFrame:
@@ -151,7 +162,7 @@ def prune_soft(postings: DataFrame, p: float) -> DataFrame:
     Terms with one posting keep it."""
     s = postings.groupBy("term").agg(F.avg("tf").alias("__a"), F.stddev_pop("tf").alias("__d"), F.max("tf").alias("__m"), F.max("doc_id").alias("__last"), F.count("*").alias("__n"))
     least = F.col("__a") + F.lit(p) * F.col("__d")
-    j = postings.join(s, "term")
+    j = with_key_stat(postings, s, "term", "__n")
     keep = (F.col("__n") < 2) | (F.col("tf") >= least) | ((F.col("__m") < least) & (F.col("doc_id") == F.col("__last")))
     return j.filter(keep).select(*postings.columns)
 
@@ -168,9 +179,10 @@ def prune(index: Index, spec: str) -> Index:
 
 
 def save(index: Index, path: str) -> None:
-    """Postings sorted by term within files, so that a reader skips row groups; documents; meta as one JSON row."""
+    """Postings in files by ranges of (term, doc_id) and sorted within, so that a reader skips files and row groups and a term of
+    every document is spread over several; documents; meta as one JSON row."""
     spark = index.postings.sparkSession
-    index.postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     spark.createDataFrame([(json.dumps(index.meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
@@ -182,9 +194,12 @@ def load(spark: SparkSession, path: str) -> Index:
 
 def lexicon_report(lex: DataFrame) -> DataFrame:
     """One row: terms, and greatest, least, mean and upper median df. The median comes from counts of each df."""
-    per = lex.groupBy("df").agg(F.count("*").alias("k"))  # as many rows as there are different df
-    w = W.orderBy("df")
-    cum = per.withColumn("upto", F.sum("k").over(w))
+    per = written(lex.groupBy("df").agg(F.count("*").alias("k")), "df")  # as many rows as there are different df
+    block = F.floor(F.log2("df")).cast("int")  # at most 63: sums of blocks, then within each
+    sums = per.groupBy(block.alias("__b")).agg(F.sum("k").alias("__k"))
+    sums = sums.select("__b", F.coalesce(F.sum("__k").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    w = W.partitionBy("__b").orderBy("df")
+    cum = per.withColumn("__b", block).join(F.broadcast(sums), "__b").withColumn("upto", F.sum("k").over(w) + F.col("__before"))
     s = per.agg(F.sum("k").alias("n_terms"), F.max("df").alias("max_df"), F.min("df").alias("min_df"), (F.sum(F.col("df") * F.col("k")) / F.sum("k")).alias("mean_df"))
     half = F.floor(per.agg(F.sum("k")).scalar() / 2)
     return s.withColumn("median_df", cum.filter(F.col("upto") > half).agg(F.min("df")).scalar())
@@ -196,6 +211,16 @@ def dump_postings(postings: DataFrame) -> DataFrame:
     return postings.select(F.concat("term", F.lit(" # "), F.col("doc_id").cast("string"), F.lit(" "), rest).alias("value"))
 
 
+def posting_strings(postings: DataFrame, entries: int = 1_000) -> DataFrame:
+    """(term, part, list): the posting lists in print, `docid freq` or `docid p1 p2 ..` joined by ` | `, by doc_id. A list of
+    over `entries` postings comes in parts of as many, so that no row or task holds all of a common term's."""
+    rest = F.array_join(F.transform("positions", lambda x: x.cast("string")), " ") if "positions" in postings.columns else F.col("tf").cast("string")
+    one = postings.select("term", "doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), rest).alias("__one"))
+    cut = chunked(one, ["term"], ["term", "doc_id"], chunk_rows=entries)
+    parts = cut.groupBy("term", F.col("chunk").alias("part")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "__one"))).alias("__all"))
+    return parts.select("term", "part", F.array_join(F.transform("__all", lambda x: x["__one"]), " | ").alias("list"))
+
+
 def parse_postings(lines: DataFrame, positional: bool = False) -> DataFrame:
     """postings of dumped lines; lines that don't match are left out."""
     m = lambda i: F.regexp_extract("value", r"^(.*) # (-?[0-9]+) ([0-9 ]+)$", i)

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from termloom.operators.index import Index
+from termloom.operators.skew import salted_join
+from termloom.session import written
 
 K1, K2, B = 1.2, 1.0, 0.75
 
@@ -129,10 +131,13 @@ def score(terms: DataFrame, index: Index, engine: str | None, force: bool = Fals
     else:
         gate = q.groupBy("qid", *own).agg(F.sum(F.col("k") ** 3).alias("__q"))
     q = q.join(gate.select("qid", "__q"), "qid")
-    docs = index.docs.select("doc_id", F.col("term_count").cast("double").alias("term_count"), "norm2")
-    hits = q.join(index.postings.select("term", "doc_id", F.col("tf").cast("double").alias("tf")), "term").join(docs, "doc_id")
+    cosine_ = engine in (None, "COSINE")
+    docs = index.docs.select("doc_id", F.col("term_count").cast("double").alias("term_count"), *(["norm2"] if cosine_ else []))
+    p = index.postings.select("term", "doc_id", F.col("tf").cast("double").alias("tf"))
+    hits = salted_join(p, q, "term", F.col("doc_id")).join(docs, "doc_id")
     by = [c for c in own if c == "engine"]
-    s = hits.groupBy("qid", *by, "doc_id").agg(F.sum(_by_engine(engine, lambda e: RANKERS[e](t))).alias("score"), F.first("norm2").alias("norm2"), F.first("__q").alias("__q"))
+    norm = [F.first("norm2").alias("norm2"), F.first("__q").alias("__q")] if cosine_ else []
+    s = hits.groupBy("qid", *by, "doc_id").agg(F.sum(_by_engine(engine, lambda e: RANKERS[e](t))).alias("score"), *norm)
     size = F.sqrt(F.col("norm2") * F.col("__q"))
     if engine == "COSINE":
         s = s.withColumn("score", F.try_divide(F.col("score"), size))
@@ -150,6 +155,19 @@ def filter_sequential(left: DataFrame, right: DataFrame, within: int | Column =
     return j.filter(F.size("positions") > 0).select(*keys, "positions")
 
 
+def neighbours(postings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(first, second, doc_id, positions) for pairs of terms (first, second): filter_sequential of the two terms' postings in
+    the documents that have both. Which documents have both is found without positions, so only theirs are moved."""
+    lean = postings.select("term", "doc_id")
+    one = salted_join(lean.withColumnRenamed("term", "first"), pairs, "first", F.col("doc_id"))
+    both = one.join(lean.withColumnRenamed("term", "second"), ["second", "doc_id"])
+    p = postings.select("term", "doc_id", "positions")
+    left = both.join(p.withColumnRenamed("term", "first"), ["first", "doc_id"])
+    right = both.join(p.withColumnRenamed("term", "second"), ["second", "doc_id"])
+    cols = ["first", "second", "doc_id", "positions"]
+    return filter_sequential(left.select(*cols), right.select(*cols))
+
+
 def match_phrases(terms: DataFrame, index: Index) -> DataFrame:
     """(qid, doc_id, m): documents that hold a query's known terms one after the other, with the positions left at the end.
 
@@ -161,10 +179,14 @@ def match_phrases(terms: DataFrame, index: Index) -> DataFrame:
     lex = index.lexicon().select("term", F.lit(True).alias("__k"))
     t = terms.select("qid", "pos", "term").join(lex, "term", "left").withColumn("__i", F.row_number().over(w))
     t = t.filter("__k").withColumn("__before", F.lag("__i").over(w)).withColumn("within", F.col("__i") - F.coalesce("__before", F.col("__i") - 1))
-    need = t.groupBy("qid").agg(F.count("*").alias("__need"))
-    p = index.postings.select("term", "doc_id", "positions")
-    hits = t.join(p, "term").groupBy("qid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "within", "positions"))).alias("g"))  # one entry per query token
-    hits = hits.join(need, "qid").filter(F.size("g") == F.col("__need"))
+    t = written(t.select("qid", "pos", "term", "within", F.count("*").over(W.partitionBy("qid")).alias("__need")), "steps")
+    # documents with all terms of a query first, without positions; only theirs are gathered
+    p = index.postings.select("term", "doc_id")
+    all_ = salted_join(p, t.select("term", "qid", "__need"), "term", F.col("doc_id")).groupBy("qid", "doc_id").agg(F.count("*").alias("__n"), F.first("__need").alias("__need"))
+    all_ = all_.filter(F.col("__n") == F.col("__need")).select("qid", "doc_id")
+    wanted = all_.join(t.drop("__need"), "qid")
+    hits = wanted.join(index.postings.select("term", "doc_id", "positions"), ["term", "doc_id"])
+    hits = hits.groupBy("qid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "within", "positions"))).alias("g"))  # one entry per query token
 
     def step(acc: Column, x: Column) -> Column:
         most = F.array_max(acc) + x["within"]
@@ -187,7 +209,8 @@ def score_positional(terms: DataFrame, index: Index, engine: str | None, force:
     if not force:
         enough = F.col("df") >= F.floor(0.01 * t.n)
         per = per.filter(enough | F.col("force") if "force" in own else enough)
-    docs = index.docs.select("doc_id", F.col("term_count").cast("double").alias("term_count"), F.expr("nullif(norm2, 0D)").alias("norm2"))
+    norm = [F.expr("nullif(norm2, 0D)").alias("norm2")] if engine in (None, "COSINE") else []
+    docs = index.docs.select("doc_id", F.col("term_count").cast("double").alias("term_count"), *norm)
     hits = m.select("qid", "doc_id", F.col("m").cast("double").alias("tf")).join(per, "qid").join(docs, "doc_id")
     return hits.withColumn("score", _by_engine(engine, lambda e: positional_share(e, t))).filter(F.col("score").isNotNull() & ~F.isnan("score")).select("qid", "doc_id", "score")
 

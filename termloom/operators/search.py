@@ -20,10 +20,11 @@ def query_terms(queries: DataFrame, index: Index) -> DataFrame:
     return out.select("qid", F.struct("pos", "sub").alias("pos"), "term").join(queries.select("qid", F.col("query_thresh").alias("thresh")), "qid")
 
 
-def search(queries: DataFrame, indexes: dict[str, Index], limit: int = 100) -> DataFrame:
+def search(queries: DataFrame, indexes: dict[str, Index], limit: int = 100, digits: int | None = None) -> DataFrame:
     """(qid, doc_id, docno, rank, score, source): each query (qid, text, engine, index_pref, force, query_thresh) by its engine
     on its preferred indexes in turn; the first with results answers. The last preference is forced if it is an index.
 
+    With `digits` scores are rounded before they are ranked, so that sums that differ in their last places tie.
     Engines go by name in any case; queries with an unknown or null engine, no text or no answer have no rows.
     """
     prefs = F.filter(F.transform(F.split("index_pref", ","), F.trim), lambda x: x != "")
@@ -36,5 +37,7 @@ def search(queries: DataFrame, indexes: dict[str, Index], limit: int = 100) -> D
         terms = written(terms.select("qid", F.row_number().over(W.partitionBy("qid").orderBy("pos")).alias("pos"), "term", "engine", "force"), "terms")  # used several times below
         s = (score_positional if index.positional else score)(terms, index, None)
         parts.append(written(s.join(index.docs.select("doc_id", "docno"), "doc_id").withColumn("source", F.lit(tag)), "answers"))
+    if digits is not None:
+        parts = [p.withColumn("score", F.round("score", digits)) for p in parts]
     answers = fall_back(q.select("qid", "index_pref"), reduce(DataFrame.unionByName, parts))
     return rank(answers, limit).select("qid", "doc_id", "docno", "rank", "score", "source")

@@ -31,6 +31,31 @@ def with_key_stat(rows: DataFrame, stat: DataFrame, key: str, weight: str, max_h
     return a.unionByName(b)
 
 
+def small_enough(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether a table may be broadcast: it has at most so many rows. Reads no more than those."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def without(rows: DataFrame, other: DataFrame, key: str, unless: Column | None = None, most: int = 100_000) -> DataFrame:
+    """rows whose key isn't among those of `other`, and those for which `unless` holds. `other` is broadcast if it has at most
+    `most` keys; else the join splits skewed partitions at run time, as it does for a left side. Null keys stay."""
+    keys = other.select(F.col(key).alias("__key")).filter(F.col(key).isNotNull()).distinct().withColumn("__there", F.lit(True))
+    keys = F.broadcast(keys) if small_enough(keys, most) else keys
+    there = F.coalesce(F.col("__there"), F.lit(False))
+    kept = rows.join(keys, F.col(key) == F.col("__key"), "left").filter(~there if unless is None else unless | ~there)
+    return kept.drop("__key", "__there")
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, spread: Column, salts: int = 16, most: int = 100_000) -> DataFrame:
+    """many and few joined by key, where a key may hold a large part of `many`. `few` is broadcast if it has at most `most`
+    rows; else the rows of a key are spread over `salts` tasks by `spread`, and `few` is repeated as often."""
+    if small_enough(few, most):
+        return many.join(F.broadcast(few), key)
+    a = many.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    b = few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return a.join(b, [key, "__salt"]).drop("__salt")
+
+
 def number_rows(rows: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Number the rows of every key from 0 in the given order, without a window over a whole key.
 
@@ -63,12 +88,13 @@ def chunked(rows: DataFrame, keys: list[str], order: list[str], chunk_rows: int
         n = laid.count()
         chunk_rows = max(10_000, n // (8 * n_slices))
     sizes = offsets.groupBy(*keys).agg(F.sum("__n").alias("__size")).filter(F.col("__size") > chunk_rows)
-    hot = sizes.select(*keys)  # at most rows / chunk_rows keys, a multiple of the slices
+    hot = sizes.select(*keys)
+    hot = F.broadcast(hot) if small_enough(hot) else hot  # at most rows / chunk_rows keys, by default a multiple of the slices
     out = [c for c in rows.columns if c != "chunk"]
-    plain = laid.alias("l").join(F.broadcast(hot).alias("h"), _same(keys, "l", "h"), "left_anti").select(*out, F.lit(0).cast("long").alias("chunk"))
-    part = laid.alias("l").join(F.broadcast(hot).alias("h"), _same(keys, "l", "h"), "left_semi")
+    plain = laid.alias("l").join(hot.alias("h"), _same(keys, "l", "h"), "left_anti").select(*out, F.lit(0).cast("long").alias("chunk"))
+    part = laid.alias("l").join(hot.alias("h"), _same(keys, "l", "h"), "left_semi")
     number = F.col("o.__before") - F.col("o.__first") + F.col(f"l.{_ROW}")
-    off = offsets.alias("o").join(F.broadcast(hot).alias("h"), _same(keys, "o", "h"), "left_semi")
+    off = offsets.alias("o").join(hot.alias("h"), _same(keys, "o", "h"), "left_semi")
     many = (
         part.alias("l")
         .join(off.alias("o"), (F.col(f"l.{_FILE}") == F.col(f"o.{_FILE}")) & _same(keys, "l", "o"))
@@ -107,7 +133,7 @@ def key_sizes(rows: DataFrame, keys: list[str], order: list[str], distinct: str
     """
     if distinct and order[0] != distinct:
         raise ValueError("the column counted must lead the order")
-    lean = rows.select(*dict.fromkeys([*keys, *order]))
+    lean = written(rows.select(*dict.fromkeys([*keys, *order])), "rows")  # ordering reads it twice
     return merge_states(chunk_states(chunked(lean, keys, order, chunk_rows), keys, order, distinct), keys, distinct)
 
 

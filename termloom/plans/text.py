@@ -10,6 +10,7 @@ from termloom.functions.porter import stems
 from termloom.operators.dates import FIGURES, MONTHS, dates
 from termloom.operators.index import run_chain
 from termloom.operators.phrases import phrases
+from termloom.plans.stems import stems_sql
 from termloom.session import table
 
 
@@ -39,6 +40,12 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return T.native_tokens(docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
 
 
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every document of the stream, Text and Symbol, before any filter; one per place."""
+    t = table(spark, d, "tokens").filter(F.col("tok_type").isin("Text", "Symbol")).select("doc_id", "pos").distinct()
+    return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+
+
 def phrase_segments(spark: SparkSession, d: str) -> DataFrame:
     return T.phrase_segments(docs(spark, d))
 
@@ -177,8 +184,18 @@ def default_chain_sql(rel: str) -> str:
     return _group_sql(r, T.DEFAULT_CHAIN[2:])
 
 
-_PHRASES = f"""
-WITH s AS ({STREAM}),
+def segments_sql(rel: str) -> str:
+    """Tokens with the number of breaks before them over a relation (doc_id, run, i)."""
+    return f"""WITH r AS (SELECT *, {_BODY} AS body, {_CORE} AS core, translate({_CORE}, '('')', '-') AS term FROM ({rel})),
+b AS (SELECT *, (len(run) > len(body))::INTEGER AS before, (term = '' OR replace(substr(body, len(core) + 1), '''', '') <> '')::INTEGER AS after FROM r),
+s AS (SELECT *, sum(before) OVER (PARTITION BY doc_id ORDER BY i) + coalesce(sum(after) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM b)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INTEGER AS pos, term, seg::BIGINT AS seg FROM s WHERE term <> ''"""
+
+
+def phrases_sql(rel: str) -> str:
+    """Phrases of two tokens over a relation (doc_id, pos, term, seg)."""
+    return f"""
+WITH s AS ({rel}),
 k AS (SELECT doc_id, term, count(*) AS k FROM s GROUP BY ALL),
 st AS (SELECT doc_id, term FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS top, sum(k) OVER (PARTITION BY doc_id) AS n FROM k) WHERE n >= 25 AND k::DOUBLE / top >= 0.2),
 a AS (SELECT s.*, st.term IS NOT NULL AS stop FROM s LEFT JOIN st USING (doc_id, term)),
@@ -190,23 +207,22 @@ g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS p, l
 SELECT doc_id, p::INTEGER AS pos, CASE WHEN m = 1 THEN term ELSE pt || ' ' || term END AS phrase FROM g WHERE NOT is_last OR fin"""
 
 QUERIES = {
-    "tokenize": tokenize, "tokenize_native": tokenize_native, "token_counts": token_counts, "phrase_segments": phrase_segments,
+    "tokenize": tokenize, "stream_counts": stream_counts, "tokenize_native": tokenize_native, "token_counts": token_counts, "phrase_segments": phrase_segments,
     **{f"filter_{n}": _filter(n) for n in FILTER_SQL}, "filter_chain": filter_chain, "filter_dates": filter_dates, "chain_tokens": chain_tokens,
     "filter_stopwords": filter_stopwords, "filter_porter": filter_porter, "phrase_terms": phrase_terms,
 }
 
 SQL = {
     "tokenize_native": NATIVE,
+    "stream_counts": "SELECT doc_id, count(*) AS n_tokens FROM (SELECT DISTINCT doc_id, pos FROM tokens WHERE tok_type IN ('Text', 'Symbol')) GROUP BY doc_id",
     "token_counts": f"SELECT doc_id, count(*) AS n_tokens FROM ({NATIVE}) GROUP BY doc_id",
-    "phrase_segments": f"""WITH r AS (SELECT *, {_BODY} AS body, {_CORE} AS core, translate({_CORE}, '('')', '-') AS term FROM ({RUNS})),
-b AS (SELECT *, (len(run) > len(body))::INTEGER AS before, (term = '' OR replace(substr(body, len(core) + 1), '''', '') <> '')::INTEGER AS after FROM r),
-s AS (SELECT *, sum(before) OVER (PARTITION BY doc_id ORDER BY i) + coalesce(sum(after) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM b)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INTEGER AS pos, term, seg::BIGINT AS seg FROM s WHERE term <> ''""",
+    "phrase_segments": segments_sql(RUNS),
     **{f"filter_{n}": chain_sql([n]) for n in FILTER_SQL},
     "filter_chain": chain_sql(_PLAIN),
     "filter_dates": _DATES,
     "chain_tokens": f"SELECT doc_id, pos, array_to_string(o, '.') AS sub, t AS term, f AS final FROM ({default_chain_sql(f'SELECT doc_id, pos, term AS t, false AS f FROM ({NATIVE})')})",
     "filter_stopwords": f"""WITH st AS (SELECT regexp_replace(lower(trim(term)), '[''’]', '', 'g') AS term FROM stops)
 SELECT doc_id, pos, lower(term) AS term, final FROM ({STREAM}) WHERE final OR lower(term) NOT IN (SELECT term FROM st WHERE term IS NOT NULL)""",
-    "phrase_terms": _PHRASES,
+    "filter_porter": stems_sql(f"SELECT DISTINCT lower(term) AS term FROM ({STREAM})"),
+    "phrase_terms": phrases_sql(STREAM),
 }

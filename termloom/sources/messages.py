@@ -10,13 +10,17 @@ DOCUMENT = "array<struct<Id: bigint, HumanId: string, TermCount: bigint, MaxTf:
 
 
 def to_queries(lines: DataFrame) -> DataFrame:
-    """queries of JSON messages (value); a message that can't be read gives a row of nulls."""
+    """queries of JSON messages (value); a message that can't be read gives a row of nulls. type 0 is a ranked query, others
+    look terms up."""
     q = lines.select(F.from_json("value", QUERY).alias("q"))
-    return q.select(F.col("q.Id").alias("qid"), F.col("q.Text").alias("text"), F.col("q.Engine").alias("engine"), F.col("q.IndexPref").alias("index_pref"), F.coalesce("q.Force", F.lit(False)).alias("force"), F.col("q.QueryThresh").alias("query_thresh"))
+    names = {"qid": "Id", "text": "Text", "engine": "Engine", "index_pref": "IndexPref", "query_thresh": "QueryThresh", "query_thresh_ranker": "QueryThreshRanker"}
+    rest = [F.coalesce("q.Force", F.lit(False)).alias("force"), F.coalesce("q.Type", F.lit(0)).alias("type")]
+    return q.select(*[F.col(f"q.{v}").alias(k) for k, v in names.items()], *rest)
 
 
 def from_queries(queries: DataFrame) -> DataFrame:
-    s = F.struct(F.col("qid").alias("Id"), F.col("text").alias("Text"), F.col("engine").alias("Engine"), F.col("index_pref").alias("IndexPref"), F.col("force").alias("Force"), F.col("query_thresh").alias("QueryThresh"))
+    names = {"qid": "Id", "text": "Text", "engine": "Engine", "index_pref": "IndexPref", "force": "Force", "query_thresh": "QueryThresh", "query_thresh_ranker": "QueryThreshRanker", "type": "Type"}
+    s = F.struct(*[F.col(k).alias(v) for k, v in names.items() if k in queries.columns])
     return queries.select(F.to_json(s).alias("value"))
 
 
@@ -28,6 +32,13 @@ def responses(results: DataFrame) -> DataFrame:
     return g.select("qid", F.to_json(F.struct(r.alias("Results"), F.lit("").alias("Error"), "Source")).alias("value"))
 
 
+def read_responses(lines: DataFrame) -> DataFrame:
+    """(qid, rank, docno, score, source, error) of responses (qid, value); one row with a null rank where there is no result."""
+    r = lines.select("qid", F.from_json("value", RESPONSE).alias("r"))
+    each = r.select("qid", F.col("r.Source").alias("source"), F.col("r.Error").alias("error"), F.posexplode_outer("r.Results").alias("rank", "x"))
+    return each.select("qid", "rank", F.col("x.Document").alias("docno"), F.col("x.Score").alias("score"), "source", "error")
+
+
 def read_document_map(lines: DataFrame) -> DataFrame:
     """(doc_id, docno, term_count, max_tf, weights) of a document map, a JSON array."""
     d = lines.select(F.explode(F.from_json("value", DOCUMENT)).alias("d"))

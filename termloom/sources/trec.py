@@ -33,6 +33,12 @@ def read_topics(files: DataFrame, text: str = "text") -> DataFrame:
     return t.select(F.trim(F.regexp_extract("t", r"<num>\s*Number:\s*([^\n]*)", 1)).alias("qid"), F.trim(F.regexp_extract("t", r"<title>\s*Topic:\s*([^\n]*)", 1)).alias("text"))
 
 
+def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
+    """(term): the words of files of stop words, parted by white space; each once."""
+    words = spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("term"))
+    return words.filter(F.col("term") != "").distinct()
+
+
 def run_lines(results: DataFrame, limit: int = 100) -> DataFrame:
     """(value): `qid Q0 docno rank score source`, rank from 0 and below limit, score with six places."""
     r = results.filter(F.col("rank") < limit)
