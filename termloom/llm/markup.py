@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -19,12 +20,14 @@ _BLOCK = frozenset("html head body title text doc p div section article ul ol li
 _RAW = frozenset("pre script style syntaxhighlight source math".split())
 _VOID = frozenset("br hr img input meta link".split())
 _KEEP = frozenset("h1 h2 h3 h4 h5 h6 li item title dt dd".split())
-_RAWTEX = frozenset("verbatim lstlisting equation equation* align align* displaymath math tabular minted gather".split())
+_RAWTEX = frozenset("verbatim lstlisting minted equation equation* align align* gather gather* displaymath math tabular".split())
+_ITEM = re.compile(r"\s*(?:[*+-]|\d{1,3}[.)]) +\S")
 _UNIT = re.compile(
     r"(?P<comment><!--.*?(?:-->|\Z))"
     r"|(?P<fence>^[ ]{0,3}(?P<tick>```+|~~~+)[^\n`]*$\n(?P<fenced>.*?)(?:^[ ]{0,3}(?P=tick)[ ]*$|\Z))"
     r"|(?P<begin>\\begin\{(?P<benv>[\w*]+)\}(?:\[[^\]\n]*\])?)"
     r"|(?P<end>\\end\{(?P<eenv>[\w*]+)\})"
+    r"|(?P<indent>(?:\A|(?<=\n\n))(?:(?: {4}|\t)[^\n]*\S[^\n]*(?:\n|\Z)(?:[ \t]*\n(?= {4}|\t))*)+)"
     r"|(?P<dollars>^\$\$(?P<dd>.*?)\$\$[ ]*$)"
     r"|(?P<square>^[ ]*\\\[(?P<sq>.*?)\\\][ ]*$)"
     r"|(?P<item>\\item\b(?:\[[^\]\n]*\])?)"
@@ -49,10 +52,10 @@ def has_markup(text: str) -> bool:
 
 
 class Block:
-    __slots__ = ("path", "text", "blank", "first", "prefix", "under")
+    __slots__ = ("path", "text", "blank", "first", "at", "prefix", "under")
 
-    def __init__(self, path: tuple[str, ...], text: str, blank: bool, first: bool) -> None:
-        self.path, self.text, self.blank, self.first, self.prefix, self.under = path, text, blank, first, "", False
+    def __init__(self, path: tuple[str, ...], text: str, blank: bool, first: bool, at: int) -> None:
+        self.path, self.text, self.blank, self.first, self.at, self.prefix, self.under = path, text, blank, first, at, "", False
 
 
 def blocks(text: str) -> list[Block]:
@@ -62,31 +65,37 @@ def blocks(text: str) -> list[Block]:
     buf: list[str] = []
     blank = True
     fresh = True
-    at = 0
+    at = begin = 0
+    plain = _style(text) in ("m", "-")
+
+    def take(a: int, b: int) -> None:
+        nonlocal begin
+        if not buf:
+            begin = a
+        buf.append(text[a:b])
 
     def flush() -> None:
         nonlocal blank, fresh
         s = "".join(buf)
         buf.clear()
         if s.strip():
-            out.append(Block(tuple(stack), s, blank, fresh))
+            out.append(Block(tuple(stack), s, blank, fresh, begin + len(s) - len(s.lstrip())))
             blank = fresh = False
 
-    def whole(kind: str, s: str) -> None:
+    def whole(kind: str, s: str, a: int) -> None:
         nonlocal blank, fresh
         flush()
-        out.append(Block((*stack, kind), s, blank, True))
+        out.append(Block((*stack, kind), s, blank, True, a))
         blank = fresh = False
 
     n = len(text)
     while at < n:
         m = _UNIT.search(text, at)
         if not m:
-            buf.append(text[at:])
+            take(at, n)
             break
-        buf.append(text[at : m.start()])
+        take(at, m.start())
         at = m.end()
-        kind = m.lastgroup
         if m.group("comment") is not None:
             pass
         elif m.group("nl") is not None:
@@ -101,18 +110,26 @@ def blocks(text: str) -> list[Block]:
                     blank = True
                 flush()
         elif m.group("fence") is not None:
-            whole("fence", m.group("fenced"))
+            whole("fence", m.group("fenced"), m.start())
+        elif m.group("indent") is not None:
+            if plain and not stack and not "".join(buf).strip() and not (out and _ITEM.match(out[-1].text)):
+                whole("indent", m.group("indent"), m.start())
+                blank = True
+            else:  # a line as any other
+                at = text.find("\n", m.start()) + 1 or n
+                take(m.start(), at)
+                flush()
         elif m.group("dollars") is not None:
-            whole("$$", m.group("dd"))
+            whole("$$", m.group("dd"), m.start())
         elif m.group("square") is not None:
-            whole("\\[", m.group("sq"))
+            whole("\\[", m.group("sq"), m.start())
         elif m.group("begin") is not None:
             flush()
             env = m.group("benv")
             if env in _RAWTEX:
                 e = text.find("\\end{" + env + "}", at)
                 e = n if e < 0 else e
-                whole("tex:" + env, text[at:e])
+                whole("tex:" + env, text[at:e], m.start())
                 at = min(n, e + len(env) + 6)
             else:
                 stack.append("tex:" + env)
@@ -148,7 +165,7 @@ def blocks(text: str) -> list[Block]:
                 tag = name if not math or low == "math" else "span"
                 e = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
                 stop = e.start() if e else n
-                whole("math" if math else name, text[at:stop])
+                whole("math" if math else name, text[at:stop], m.start())
                 at = e.end() if e else n
                 continue
             if low in ("li", "item", "p", "dt", "dd", "tr", "td", "th") or low[0] == "h" and low[1:].isdigit():
@@ -162,7 +179,7 @@ def blocks(text: str) -> list[Block]:
     flush()
     for i, b in enumerate(out):
         s = b.text.strip()
-        raw = bool(b.path) and (b.path[-1] in ("fence", "$$", "\\[", "math") or b.path[-1].lower() in _RAW or b.path[-1].lower() == "code" or b.path[-1].startswith("tex:") and b.path[-1][4:] in _RAWTEX)
+        raw = bool(b.path) and (b.path[-1] in ("fence", "indent", "$$", "\\[", "math") or b.path[-1].lower() in _RAW or b.path[-1].lower() == "code" or b.path[-1].startswith("tex:") and b.path[-1][4:] in _RAWTEX)
         b.prefix = "raw" if raw else next((n for n, p in _PREFIX if p.match(s)), "none")
         if b.prefix == "rule" and i and not b.blank and out[i - 1].prefix not in ("raw", "rule"):
             out[i - 1].under = True
@@ -205,7 +222,7 @@ def _words(r: random.Random, n: int) -> str:
     out = ["".join(r.choice(abc) for _ in range(r.randint(2, 9))) for _ in range(n)]
     for i in range(len(out)):
         if r.random() < 0.12:
-            out[i] = r.choice([str(r.randint(1, 999)), "R&D", f"#{r.randint(1, 99)}", "17.", f"{r.randint(1, 9)} *", "list_7.txt", "(e.g.", "<", ">", "$3,821.95", "—"])
+            out[i] = r.choice([str(r.randint(1, 999)), f"{out[i][0].upper()}&{out[i][-1].upper()}", f"#{r.randint(1, 99)}", f"{r.randint(1, 99)}.", f"{r.randint(1, 9)} *", f"{out[i]}_{r.randint(1, 99)}.csv", "(cf.", "<", ">", f"${r.randint(1, 99)},{r.randint(100, 999)}.{r.randint(10, 99)}", "—"])
     return " ".join(out).capitalize()
 
 
@@ -222,12 +239,13 @@ def _code(r: random.Random) -> str:
     return "\n".join(r.choice([f"set x_limit = {r.randint(1, 99)}", "for i in items: total += i * 2", "print(a, b)", "load f.dat -> g[3]", "if n > 4 then mark(q)", "x = {1: 2}", "# a note", "- step one", "return y;"]) for _ in range(r.randint(1, 5)))
 
 
-def labelled_page(seed: int) -> tuple[str, list[str]]:
-    """A made page of one kind of markup, and the labels of its elements in order."""
+def labelled_page(seed: int) -> tuple[str, list[str], list[tuple[int, int, str]]]:
+    """A made page of one kind of markup, the labels of its elements in order, and where each stretch of it came from:
+    (begin, end, label). What isn't within one is other text."""
     r = random.Random(seed)
     kind = r.choice(["html", "soup", "md", "wiki", "tex", "sgml"])
     plan = [r.choice(["heading", "text", "text", "list", "code", "formula", "text"]) for _ in range(r.randint(1, 9))]
-    parts, want = [], []
+    parts, want, labels = [], [], []
     level, mark, number = r.randint(1, 6), r.choice("-*+"), r.random() < 0.3
     setext, tick, low = r.random() < 0.4, r.choice(["```", "~~~"]), r.random() < 0.5
     esc = lambda s: html.escape(s, quote=False) if kind in ("html", "soup", "sgml") else s
@@ -243,8 +261,10 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         if p == "heading":
             t = esc(_words(r, r.randint(1, 4)))
             want.append("heading")
+            labels.append("heading")
             parts.append({"html": f"<h{level}>{t}</h{level}>", "soup": f"<H{level} id=\"s\">{t}</H{level}>", "md": f"{t}\n{'=-'[level % 2] * max(3, len(t))}" if setext else "#" * level + f" {t}", "wiki": "=" * max(2, level) + f" {t} " + "=" * max(2, level), "tex": f"\\{r.choice(['section', 'subsection', 'section*', 'subsubsection'])}{{{t}}}", "sgml": f"<HEAD>\n{t}\n</HEAD>" if low else f"<HEAD>{t}</HEAD>"}[kind])
         elif p == "text":
+            labels.append("other")
             s = inline(esc(" ".join(_sentence(r) for _ in range(r.randint(1, 5)))))
             if r.random() < 0.5:  # wrapped
                 s = re.sub(r"(.{30,70}?) ", "\\1\n", s)
@@ -252,58 +272,52 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         elif p == "list":
             k = [esc(_words(r, r.randint(1, 4))) for _ in range(r.randint(2, 5))]
             want += ["list_item"] * len(k)
+            labels.append("list_item")
             tag = r.choice(["ul", "ol"])
             sep = "\n" if low else ""
             parts.append({"html": f"<{tag}>{sep}" + sep.join(f"<li>{x}</li>" for x in k) + f"{sep}</{tag}>", "soup": f"<{tag}>\n" + "\n".join(f"<LI>{x}" for x in k) + f"</{tag}>", "md": "\n".join((f"{i + 1}. " if number else mark + " ") + x for i, x in enumerate(k)), "wiki": "\n".join(("# " if number else "* ") + x for x in k), "tex": "\\begin{itemize}\n" + "\n".join(f"\\item {x}" for x in k) + "\n\\end{itemize}", "sgml": "<LIST>\n" + "\n".join(f"<ITEM>{x}</ITEM>" for x in k) + "\n</LIST>"}[kind])
         elif p == "code":
             c = esc(_code(r))
             want.append("code_block")
-            env = r.choice(["verbatim", "lstlisting"])
-            parts.append({"html": r.choice([f"<pre><code>{c}</code></pre>", f"<pre>{c}</pre>"]), "soup": f"<PRE>\n{c}\n</PRE>", "md": f"{tick}{r.choice(['', 'text', 'conf'])}\n{c}\n{tick}", "wiki": r.choice([f"<pre>{c}</pre>", f'<syntaxhighlight lang="text">\n{c}\n</syntaxhighlight>']), "tex": f"\\begin{{{env}}}\n{c}\n\\end{{{env}}}", "sgml": f"<CODE>\n{c}\n</CODE>"}[kind])
+            labels.append("code_block")
+            env = r.choice(["verbatim", "lstlisting", "minted"])
+            spaced = not parts or not _ITEM.match(parts[-1].splitlines()[-1])  # after a list it would go on with its item
+            parts.append({"html": r.choice([f"<pre><code>{c}</code></pre>", f"<pre>{c}</pre>"]), "soup": f"<PRE>\n{c}\n</PRE>", "md": "\n".join("    " + x for x in c.split("\n")) if spaced and r.random() < 0.3 else f"{tick}{r.choice(['', 'text', 'conf'])}\n{c}\n{tick}", "wiki": r.choice([f"<pre>{c}</pre>", f'<syntaxhighlight lang="text">\n{c}\n</syntaxhighlight>', f'<source lang="py">\n{c}\n</source>']), "tex": f"\\begin{{{env}}}\n{c}\n\\end{{{env}}}", "sgml": f"<CODE>\n{c}\n</CODE>"}[kind])
         else:
             m = _math(r)
             want.append("formula")
-            parts.append({"html": r.choice([f'<span class="math">\\({m}\\)</span>', f"\\({m}\\)"]), "soup": r.choice([f'<span class="math">\\({m}\\)</span>', f"\\({m}\\)"]), "md": r.choice([f"$$\n{m}\n$$", f"${m}$"]), "wiki": r.choice([f"<math>{m}</math>", f':<math display="block">{m}</math>']), "tex": r.choice([f"\\[ {m} \\]", f"\\begin{{equation}}\n{m}\n\\end{{equation}}", f"$${m}$$"]), "sgml": f"<MATH>{m}</MATH>"}[kind])
-    body = ("\n" if kind == "soup" and low else "\n\n").join(parts)
+            labels.append("formula")
+            many = r.choice(["equation", "align", "align*", "gather", "displaymath"])
+            parts.append({"html": r.choice([f'<span class="math">\\({m}\\)</span>', f"\\({m}\\)"]), "soup": r.choice([f'<span class="math">\\({m}\\)</span>', f"\\({m}\\)"]), "md": r.choice([f"$$\n{m}\n$$", f"${m}$"]), "wiki": r.choice([f"<math>{m}</math>", f':<math display="block">{m}</math>']), "tex": r.choice([f"\\[ {m} \\]", f"\\begin{{{many}}}\n{m}\n\\end{{{many}}}", f"$${m}$$"]), "sgml": f"<MATH>{m}</MATH>"}[kind])
+    before, after = "", ""
     if kind == "html" or kind == "soup":
-        body = r.choice(["", "", "<script>var k=2;</script>\n", "<html><head><style>p{margin:2px}</style></head><body>\n"]) + body
+        before = r.choice(["", "", "<script>var k=2;</script>\n", "<html><head><style>p{margin:2px}</style></head><body>\n"])
     if kind == "tex":
-        body = r.choice(["", "\\documentclass{article}\n\\begin{document}\n% note\n"]) + body
+        before = r.choice(["", "\\documentclass{article}\n\\begin{document}\n% note\n"])
+        if r.random() < 0.2:
+            parts.append("\\begin{tabular}{ll}\n" + " \\\\\n".join(f"{_words(r, 1)} & {r.randint(1, 99)}" for _ in range(3)) + "\n\\end{tabular}")
+            labels.append("other")
     if kind == "sgml":
-        body = r.choice(["", "<TEXT>\n"]) + body
+        before = r.choice(["", "<TEXT>\n"])
     if kind == "wiki":
-        body += r.choice(["", "\n\n[[Category:Xy]]", "\n{{stub|9}}"])
-    return body, want
-
-
-def _gold(bs: list[Block], want: list[str]) -> list[int] | None:
-    """Labels of the blocks of a made page: blocks that a plain reading gives, if they are the wanted ones in order."""
-    got: list[int] = []
-    style_hash = sum(1 for b in bs if b.prefix == "atx")
-    left = list(want)
-    for i, b in enumerate(bs):
-        up = b.path[-1].lower() if b.path else ""
-        raw = b.prefix == "raw"
-        y = "other"
-        if up in ("script", "style"):
-            y = "dropped"
-        elif raw and up in ("math", "$$", "\\[", "tex:equation") or b.prefix in ("dollar", "round"):
-            y = "formula"
-        elif raw:
-            y = "code_block"
-        elif up in ("li", "item", "\\item"):
-            y = "list_item"
-        elif up in ("h1", "h2", "h3", "h4", "h5", "h6") or up == "head" or b.prefix in ("texhead", "wiki=") or b.under:
-            y = "heading"
-        elif b.prefix in ("atx", "bullet*", "bullet-", "bullet+", "number") and left and left[0] in ("heading", "list_item"):
-            if left[0] == ("heading" if b.prefix == "atx" and style_hash and left[0] == "heading" else "list_item") and (b.blank or i and got[-1] == LABELS.index("list_item")):
-                y = left[0]
-        if y not in ("other", "dropped"):
-            if not left or left[0] != y:
-                return None
-            left.pop(0)
-        got.append(LABELS.index(y))
-    return got if not left else None
+        after = r.choice(["", "\n\n[[Category:Xy]]", "\n{{stub|9}}"])
+    spans = [(0, len(before), "dropped")] if before.startswith(("<script", "<html")) else []
+    at, gap = len(before), "\n" if kind == "soup" and low else "\n\n"
+    for part, y in zip(parts, labels):
+        under = part.rfind("\n") if y == "heading" and kind == "md" and setext else len(part)
+        spans.append((at + len(part) - len(part.lstrip(":")), at + under, y))  # a wiki indent is no part of it
+        at += len(part) + len(gap)
+    return before + gap.join(parts) + after, want, spans
+
+
+def _gold(bs: list[Block], spans: list[tuple[int, int, str]]) -> list[int]:
+    """Labels of the blocks of a made page: those of the stretches they begin in."""
+    begins = [a for a, _, _ in spans]
+    out = []
+    for b in bs:
+        i = bisect_right(begins, b.at) - 1
+        out.append(LABELS.index(spans[i][2] if i >= 0 and b.at < spans[i][1] else "other"))
+    return out
 
 
 class Crf:
@@ -335,27 +349,28 @@ def trained(pages: int = 800, steps: int = 120, l2: float = 1e-4) -> Crf:
     """Weights that maximise the likelihood of the labels of made pages (a fixed sample, the same everywhere), by Adam over forward-backward sums of all pages at once."""
     data = []
     for seed in range(pages):
-        text, want = labelled_page(seed)
+        text, _, spans = labelled_page(seed)
         bs = blocks(text)
-        y = _gold(bs, want)
-        if y and len(y) <= 48:
-            data.append((features(bs, text), y))
+        if bs:
+            data.append((features(bs, text), _gold(bs, spans)))
+    data.sort(key=lambda d: -len(d[1]))  # so that the pages that have a t-th block are the first ones
     names = {f: i for i, f in enumerate(sorted({f for x, _ in data for row in x for f in row}))}
-    k, n, longest = len(LABELS), len(data), max(len(y) for _, y in data)
-    at, col, mask, gold = [], [], np.zeros((n, longest)), np.zeros((n, longest, k))
-    for i, (x, y) in enumerate(data):
-        for t, row in enumerate(x):
-            at += [i * longest + t] * len(row)
-            col += [names[f] for f in row]
-            mask[i, t] = 1
-            gold[i, t, y[t]] = 1
-    at, col = np.array(at), np.array(col)
+    k, n, sizes = len(LABELS), len(data), np.array([len(y) for _, y in data])
+    active = [int((sizes > t).sum()) for t in range(sizes[0])]
+    off = np.concatenate([[0], np.cumsum(active)])  # block t of page i is row off[t] + i
+    page = np.concatenate([np.arange(m) for m in active])
+    cur = np.arange(active[0], off[-1])
+    prev = cur - np.repeat(active[:-1], active[1:])
+    last = off[sizes - 1] + np.arange(n)
+    rows = [data[i][0][t] for t, m in enumerate(active) for i in range(m)]
+    y = np.array([data[i][1][t] for t, m in enumerate(active) for i in range(m)])
+    at, col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([names[f] for r in rows for f in r])
     order = np.argsort(col, kind="stable")
-    cuts = np.searchsorted(col[order], np.arange(len(names)))
-    w, tr = np.zeros((len(names), k)), np.zeros((k, k))
-    gold_tr = np.einsum("ntk,ntl->kl", gold[:, :-1], gold[:, 1:])
-    row_cuts = np.searchsorted(at, np.arange(n * longest))
-    has = np.bincount(at, minlength=n * longest) > 0
+    cuts, row_cuts = np.searchsorted(col[order], np.arange(len(names))), np.searchsorted(at, np.arange(len(rows)))
+    by_col = at[order]
+    w, tr, gold = np.zeros((len(names), k)), np.zeros((k, k)), np.eye(k)[y]
+    gold_tr = np.zeros((k, k))
+    np.add.at(gold_tr, (y[prev], y[cur]), 1)
     opt = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(tr), np.zeros_like(tr)]
 
     def lse(a, axis):
@@ -363,21 +378,18 @@ def trained(pages: int = 800, steps: int = 120, l2: float = 1e-4) -> Crf:
         return (m + np.log(np.exp(a - m).sum(axis, keepdims=True))).squeeze(axis)
 
     for step in range(1, steps + 1):
-        e = np.zeros((n * longest, k))
-        e[has] = np.add.reduceat(w[col], row_cuts[has], axis=0)
-        e = e.reshape(n, longest, k)
-        al, be = np.zeros_like(e), np.zeros_like(e)
-        al[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            al[:, t] = np.where(mask[:, t, None] > 0, lse(al[:, t - 1, :, None] + tr, 1) + e[:, t], al[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            be[:, t] = np.where(mask[:, t + 1, None] > 0, lse(tr + (e[:, t + 1] + be[:, t + 1])[:, None, :], 2), 0)
-        z = lse(al[:, -1], 1)
-        p = np.exp(al + be - z[:, None, None]) * mask[:, :, None]
-        pair = np.exp(al[:, :-1, :, None] + tr + (e + be)[:, 1:, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-        diff = (p - gold).reshape(-1, k)
-        g = np.add.reduceat(diff[at[order]], cuts, axis=0) / n + l2 * w
-        gt = (pair.sum((0, 1)) - gold_tr) / n + l2 * tr
+        e = np.add.reduceat(w[col], row_cuts, axis=0)
+        al, be = e.copy(), np.zeros_like(e)
+        for t in range(1, len(active)):
+            al[off[t] : off[t + 1]] += lse(al[off[t - 1] : off[t - 1] + active[t], :, None] + tr, 1)
+        for t in range(len(active) - 2, -1, -1):
+            nxt = slice(off[t + 1], off[t + 2])
+            be[off[t] : off[t] + active[t + 1]] = lse(tr + (e[nxt] + be[nxt])[:, None, :], 2)
+        z = lse(al[last], 1)[page]
+        diff = np.exp(al + be - z[:, None]) - gold
+        pair = np.exp(al[prev][:, :, None] + tr + (e + be)[cur][:, None, :] - z[cur][:, None, None])
+        g = np.add.reduceat(diff[by_col], cuts, axis=0) / n + l2 * w
+        gt = (pair.sum(0) - gold_tr) / n + l2 * tr
         for x, d, j in ((w, g, 0), (tr, gt, 2)):
             opt[j] = 0.9 * opt[j] + 0.1 * d
             opt[j + 1] = 0.99 * opt[j + 1] + 0.01 * d * d
@@ -399,12 +411,12 @@ def _plain(s: str) -> str:
     return re.sub(r"[ \t]+", " ", html.unescape(re.sub(r"&(blank|hyph);", lambda m: _ENT[m.group(1)], s))).strip()
 
 
-def clean(bs: list[Block], labels: list[int]) -> str:
+def clean(bs: list[Block], labels: list[int], tex: bool = False) -> str:
     """Text with `# ` before headings, `- ` before list items, code and formulas fenced; scripts, styles and comments gone."""
     out: list[str] = []
     for b, y in zip(bs, labels):
         name, s = LABELS[y], b.text.strip()
-        if name == "dropped" or b.prefix == "rule" or re.match(r"\\(?:documentclass|usepackage|maketitle)|%|\[\[Category:", s):
+        if name == "dropped" or b.prefix == "rule" or re.match(r"\\(?:documentclass|usepackage|maketitle)|\[\[Category:", s) or tex and name == "other" and s[0] == "%":
             continue
         if name == "code_block":
             out.append("```\n" + html.unescape(re.sub(r"</?code[^<>]*>", "", b.text.strip("\n"))) + "\n```")
@@ -443,7 +455,7 @@ def structure(docs: DataFrame, key: str, text: str) -> DataFrame:
                     labels = crf.decode(features(bs, t)) if bs else []
                     ids.append(i)
                     elems.append([LABELS[y] for y in labels if 0 < y < 5])
-                    texts.append(clean(bs, labels))
+                    texts.append(clean(bs, labels, "t" in _style(t)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(elems, pa.list_(pa.string())), pa.array(texts, pa.string())], ["id", "elems", "text_clean"])
 
     lean = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
