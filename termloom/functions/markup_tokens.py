@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from termloom.functions.tokens import phrase_segments
@@ -20,9 +23,25 @@ def _in_word(c: str) -> bool:
     return k[0] == "L" or k in ("Nd", "Pd") or c in _HYPHENS
 
 
+@lru_cache(maxsize=1)
+def _runs() -> tuple[re.Pattern, re.Pattern]:
+    """Runs of characters that words are made of; words that are one such run, with one mark behind them at most."""
+    inside = [i for i in range(0x110000) if _in_word(chr(i))]
+    parts, begin = [], inside[0]
+    for a, b in zip(inside, [*inside[1:], -1]):
+        if b != a + 1:
+            parts.append(f"{re.escape(chr(begin))}-{re.escape(chr(a))}")
+            begin = b
+    run = f"[{''.join(parts)}]+"
+    return re.compile(run), re.compile(rf"(?=[^\W_])({run})(?:([.,;:!?)])(?=\s|\Z)|(?=\s|\Z))")
+
+
+_category = lru_cache(maxsize=100_000)(unicodedata.category)
+
+
 class _Reader:
     def __init__(self, s: str) -> None:
-        self.s, self.i, self.seg = s, 0, 0
+        self.s, self.i, self.seg, self.run = s, 0, 0, _runs()[0].match
 
     def unit(self) -> str:
         """One character, or a quoted literal that ends on its line."""
@@ -79,7 +98,7 @@ class _Reader:
             levels.pop()
             if text:
                 levels[-1] += {"'": "", "(": "-", ")": ""}.get(sign, sign) + text
-            elif unicodedata.category(sign) == "Sc":
+            elif _category(sign) == "Sc":
                 levels[-1] += sign
             elif sign != "'":
                 self.seg += 1
@@ -94,10 +113,10 @@ class _Reader:
                     if not signs:
                         return levels[0]
                     close(levels[-1])
-            elif c and c != "<" and _in_word(c):
-                self.i += 1
-                levels[-1] += c
-            elif c and c != "<" and unicodedata.category(c)[0] in "SP":
+            elif m := self.run(self.s, self.i):
+                self.i = m.end()
+                levels[-1] += m.group()
+            elif c and c != "<" and _category(c)[0] in "SP":
                 self.unit()
                 signs.append(c)
                 levels.append("")
@@ -109,8 +128,13 @@ class _Reader:
 
 def read(s: str) -> Iterator[tuple[str, str, int]]:
     """(text, type, breaks before it) of the tokens of a text: Text, Symbol (entities between words) and Tag."""
-    r = _Reader(s)
+    r, plain = _Reader(s), _runs()[1].match
     while r.i < len(s):
+        if m := plain(s, r.i):
+            yield m[1], "Text", r.seg
+            r.seg += m[2] is not None
+            r.i = m.end() + 1
+            continue
         c = s[r.i]
         if c.isspace() or not c.isprintable():
             r.i += 1
@@ -124,7 +148,7 @@ def read(s: str) -> Iterator[tuple[str, str, int]]:
             if e is not None:
                 r.seg += 1
                 yield e, "Symbol", 0
-        elif c == "`" or unicodedata.category(c)[0] == "P":
+        elif c == "`" or _category(c)[0] == "P":
             r.seg += 1
             r.unit()
         else:
@@ -142,16 +166,24 @@ def markup_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """(key, pos, term, type, seg): Text and Symbol tokens; both count in pos, tags vanish."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, t in zip(pdf["k"], pdf["t"]):
-                kept = (x for x in read(t) if x[1] != "Tag")
-                rows += [(k, i + 1, w, kind_, seg) for i, (w, kind_, seg) in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=["k", "pos", "term", "type", "seg"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, pos, words, kinds, segs = [], [], [], [], []
+            for t in b.column(1).to_pylist():
+                n = 0
+                for w, kind_, seg in read(t):
+                    if kind_ != "Tag":
+                        n += 1
+                        pos.append(n)
+                        words.append(w)
+                        kinds.append(kind_)
+                        segs.append(seg)
+                sizes.append(n)
+            keys = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(pos, pa.int32()), pa.array(words, pa.string()), pa.array(kinds, pa.string()), pa.array(segs, pa.int64())], ["k", "pos", "term", "type", "seg"])
 
     lean = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return lean.mapInPandas(run, f"k {kind}, pos int, term string, type string, seg bigint").withColumnRenamed("k", key)
+    return lean.mapInArrow(run, f"k {kind}, pos int, term string, type string, seg bigint").withColumnRenamed("k", key)
 
 
 def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

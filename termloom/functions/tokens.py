@@ -90,11 +90,16 @@ PREFIXES = ["anti", "co", "de", "hyper", "hypo", "infra", "intra", "macro", "mic
 HYPHENS = r"[\x{2D}\x{AD}\x{58A}\x{1806}\x{2010}\x{2011}\x{2E17}\x{30FB}\x{FE63}\x{FF0D}\x{FF65}]"
 
 
+#: Letters, a hyphen and digits, and the other way round; words with capitals parted by points. Fixed values.
+LETTERS_DIGITS, DIGITS_LETTERS = r"^([A-z]+)-([0-9]+)$", r"^([0-9]+)-([A-z]+)$"
+ACRONYM = r"[A-Z][a-z]*(?:\.[A-Z][a-z]*)+"
+
+
 @register("hyphens")
 def hyphens(t: Column) -> Column:
     """Letters and digits on two sides join (with the letters apart if three or more); words split, or join after a prefix."""
-    a1, n1 = F.regexp_extract(t, r"^([A-z]+)-([0-9]+)$", 1), F.regexp_extract(t, r"^([A-z]+)-([0-9]+)$", 2)
-    n2, a2 = F.regexp_extract(t, r"^([0-9]+)-([A-z]+)$", 1), F.regexp_extract(t, r"^([0-9]+)-([A-z]+)$", 2)
+    a1, n1 = (F.regexp_extract(t, LETTERS_DIGITS, i) for i in (1, 2))
+    n2, a2 = (F.regexp_extract(t, DIGITS_LETTERS, i) for i in (1, 2))
     both = lambda x, y, z: F.when(F.length(z) >= 3, F.array(tok(F.concat(x, y), True), tok(z, True))).otherwise(_one(F.concat(x, y), True))
     parts = F.filter(F.split(t, HYPHENS), lambda x: x != "")
     joined = tok(F.array_join(parts, ""), True)
@@ -112,7 +117,7 @@ def slashes(t: Column) -> Column:
 
 @register("acronyms")
 def acronyms(t: Column) -> Column:
-    return F.when(t.rlike(r"[A-Z][a-z]*(?:\.[A-Z][a-z]*)+"), _one(F.lower(F.translate(t, ".", "")), True)).otherwise(_one(t, False))
+    return F.when(t.rlike(ACRONYM), _one(F.lower(F.translate(t, ".", "")), True)).otherwise(_one(t, False))
 
 
 #: Known file name extensions; fixed values.

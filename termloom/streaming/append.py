@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from termloom.operators.index import Index
-from termloom.functions.tokens import native_tokens
+from termloom.functions.markup_tokens import tokenize
+from termloom.operators.index import Index, postings_of
+from termloom.session import written
 
 
 def append_postings(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id", text: str = "text"):
@@ -15,13 +16,14 @@ def append_postings(stream: DataFrame, path: str, checkpoint: str, key: str = "d
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        t = native_tokens(batch, key, text).withColumn("term", F.lower("term"))
-        p = t.groupBy("term", F.col(key).alias("doc_id")).agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        t = tokenize(batch, key, text).filter("type = 'Text'")
+        p = postings_of(t.select(F.lower("term").alias("term"), F.col(key).alias("doc_id"), "pos"), True)
         p.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
 def lookup_stream(queries: DataFrame, index: Index) -> DataFrame:
-    """Term statistics for a stream of (qid, term): a stream-static join with the lexicon."""
-    return queries.join(index.lexicon(), "term", "left")
+    """Term statistics for a stream of (qid, term): a stream-static join with the lexicon, which is counted and written once."""
+    lex = index.lex if index.lex is not None else written(index.lexicon(), "lexicon")
+    return queries.join(lex, "term", "left")
