@@ -12,7 +12,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from termloom.session import table, written
+from termloom.operators.skew import small_enough
+from termloom.session import discard, table, written
 
 WORDS = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -75,8 +76,11 @@ def _sketches(batches, words: int, least: int, width: int):
                 continue
             at = begins[has]
             low, top = np.empty((width, len(has)), np.uint32), (runs >> _U(32)).astype(np.uint32)
+            hashed = np.empty_like(top)
             for j in range(width):
-                low[j] = np.minimum.reduceat(top * mul[j] + add[j], at)
+                np.multiply(top, mul[j], out=hashed)
+                np.add(hashed, add[j], out=hashed)
+                np.minimum.reduceat(hashed, at, out=low[j])
             low = (low.T * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
             k1, k2 = np.add.reduceat(_mix(runs), at), np.add.reduceat(_mix(runs ^ _U(0x9E3779B97F4A7C15)), at)
             sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * width), len(has), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
@@ -154,10 +158,16 @@ def _alike(a: str, b: str, width: int, least: int):
     return agree(a, b)
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """rows of nodes that hold two at least, with their size; counts combine before the shuffle. The counts are hashed, so
-    the rows, many times as many, need no sort."""
-    return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").hint("shuffle_hash"), "node")
+def _counted(rows: DataFrame, hot: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(rows, table to discard once they are written): rows of nodes that hold two at least, with their size; counts combine before the shuffle. The counts are hashed, so
+    the rows, many times as many, need no sort. Rows of nodes of over `hot` rows (so at most rows / hot nodes), as boilerplate
+    makes them, don't move to one task: the counts of those nodes go to them."""
+    sizes = written(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    large = sizes.filter(F.col("size") > hot)
+    if large.isEmpty() or not small_enough(large):
+        return rows.join(sizes.hint("shuffle_hash"), "node"), sizes
+    cold = rows.join(F.broadcast(large.select("node")), "node", "left_anti").join(sizes.filter(F.col("size") <= hot).hint("shuffle_hash"), "node")
+    return rows.join(F.broadcast(large), "node").unionByName(cold), sizes
 
 
 def candidate_pairs(reps: DataFrame, kind: str, trees: list[int], branches: int, depth: int, leaf: int, most: int, block: int = 256) -> DataFrame:
@@ -177,7 +187,9 @@ def candidate_pairs(reps: DataFrame, kind: str, trees: list[int], branches: int,
 
     def settled(rows: DataFrame, level: int, name: str) -> DataFrame:
         """The rows of nodes that branch on; all others go to the leaves."""
-        rows = written(_counted(rows), name)
+        rows, sizes = _counted(rows)
+        rows = written(rows, name)
+        discard(sizes)
         large = F.col("size") > leaf
         dense = large & (F.lit(level == most) | F.coalesce(F.col("size") >= 0.7 * F.col("above"), F.lit(False)))
         blocks = F.when(dense, F.ceil(F.col("size") / block)).otherwise(1).cast("int")
@@ -235,6 +247,7 @@ def near_duplicates(
     sets = ["k1", "k2", "n"]
     reps = written(sketched.groupBy(*sets).agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
     classes = written(sketched.select("id", *sets).join(reps.select(*sets, "rep"), sets).select("id", "rep").distinct(), "classes")
+    discard(sketched)
     lowest = max(1, int(width * threshold - 4 * (width * threshold * (1 - threshold)) ** 0.5))
     # n bounds similarity by the ratio of sizes
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -291,3 +304,22 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes}
+
+
+def _sets_sql(words: int, least: int) -> str:
+    """The distinct runs of words of every document that takes part."""
+    run = " || ' ' || ".join(f"l[i + {k}]" if k else "l[i]" for k in range(words))
+    return f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS l FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(l) - {words - 1}), lambda i: {run})) AS sh FROM w WHERE len(l) >= {least}),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(sh, ',' ORDER BY sh)) AS whole FROM s GROUP BY doc_id)"""
+
+
+#: For the small tables: all documents that share a run are compared.
+SQL = {
+    "p2_found": f"""{_sets_sql(3, 20)}, c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL)
+SELECT a AS doc_id_a, b AS doc_id_b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.5 * (x.n + y.n - k)""",
+    "p2_classes": f"""{_sets_sql(5, 5)}, cl AS (SELECT *, min(doc_id) OVER (PARTITION BY whole) AS rep FROM n), r AS (SELECT s.* FROM s JOIN cl USING (doc_id) WHERE doc_id = rep),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM r a JOIN r b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, count(*) AS n_links FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) GROUP BY a)
+SELECT doc_id, rep AS class_id, coalesce(n_links, 0) AS n_links FROM cl LEFT JOIN links ON a = rep""",
+}

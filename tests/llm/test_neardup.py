@@ -1,6 +1,7 @@
 import random
 
-from termloom.llm.neardup import document_pairs, missed, near_duplicates, trees_for
+from termloom.llm.neardup import _counted, document_pairs, missed, near_duplicates, trees_for
+from termloom.session import discard
 
 
 def _texts(r, n=160):
@@ -90,3 +91,16 @@ def test_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "x " * 40)], "doc_id long, text string")
     links, classes = near_duplicates(df, "doc_id", "text")
     assert links.count() == 0 and classes.count() == 0
+
+
+def test_large_nodes_stay_apart(spark):
+    """A node that holds a third of all rows is counted as others are, without a shuffle of its rows."""
+    rows = spark.createDataFrame([(0 if i % 3 == 0 else i // 2, i) for i in range(900)], "node long, rep long")
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.node, []).append(r.rep)
+    want = {(n, x, len(v)) for n, v in want.items() if len(v) > 1 for x in v}
+    for hot in (200_000, 50):
+        got, sizes = _counted(rows, hot)
+        assert {(r.node, r.rep, r.size) for r in got.collect()} == want
+        discard(sizes)
