@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from termloom.session import table
 
 
-def top_n(items: DataFrame, group: str, item: str, score: str, n: int, large: int = 2_000, max_large: int = 100_000) -> DataFrame:
+def top_n(items: DataFrame, group: str, item: str, score: str, n: int, large: int = 200, max_large: int = 100_000) -> DataFrame:
     """(group, item, score, rank): the n best items of each group; equal scores go by the smaller item.
 
     Null and NaN scores don't take part; an item that comes repeatedly in its group has its highest score. Infinite

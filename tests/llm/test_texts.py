@@ -276,3 +276,13 @@ def test_letters_of_one_damaged_word():
     m = _small_model("Może jutro będzie też dobrze.")
     for t in ("Może jutro.", "Ten sam też."):
         assert G.restore(_read(t, "utf-8", "cp1250"), m, 0)[0] == t
+
+
+def test_garbled_of_odd_tables(spark):
+    """Nothing, only ASCII, null keys, repeated rows and names used inside."""
+    schema = "doc_id long, text string, source string, id string, what int"
+    rows = [(None, "Der sÃ¼dliche PrÃ¼fer wird geÃ¶ffnet", None, "x", 1)] * 2 + [(5, "Der südliche Prüfer wird geöffnet", "s", "y", 2)] * 30 + [(6, "plain", "s", None, None), (7, None, None, None, None)]
+    got = G.garbled(spark.createDataFrame(rows, schema), "doc_id", "text", "source").collect()
+    assert [(r.doc_id, r.text_fixed) for r in got] == [(None, "Der südliche Prüfer wird geöffnet")] * 2
+    assert G.garbled(spark.createDataFrame(rows[-2:], schema), "doc_id", "text", "source").count() == 0
+    assert G.garbled(spark.createDataFrame([], schema), "doc_id", "text", "source").count() == 0
