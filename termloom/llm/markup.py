@@ -22,22 +22,24 @@ _VOID = frozenset("br hr img input meta link".split())
 _KEEP = frozenset("h1 h2 h3 h4 h5 h6 li item title dt dd".split())
 _RAWTEX = frozenset("verbatim lstlisting minted equation equation* align align* gather gather* displaymath math tabular".split())
 _ITEM = re.compile(r"\s*(?:[*+-]|\d{1,3}[.)]) +\S")
-_UNIT = re.compile(
+_PARTS = (
     r"(?P<comment><!--.*?(?:-->|\Z))"
     r"|(?P<fence>^[ ]{0,3}(?P<tick>```+|~~~+)[^\n`]*$\n(?P<fenced>.*?)(?:^[ ]{0,3}(?P=tick)[ ]*$|\Z))"
     r"|(?P<begin>\\begin\{(?P<benv>[\w*]+)\}(?:\[[^\]\n]*\])?)"
     r"|(?P<end>\\end\{(?P<eenv>[\w*]+)\})"
-    r"|(?P<indent>(?:\A|(?<=\n\n))(?:(?: {4}|\t)[^\n]*\S[^\n]*(?:\n|\Z)(?:[ \t]*\n(?= {4}|\t))*)+)"
     r"|(?P<dollars>^\$\$(?P<dd>.*?)\$\$[ ]*$)"
     r"|(?P<square>^[ ]*\\\[(?P<sq>.*?)\\\][ ]*$)"
     r"|(?P<item>\\item\b(?:\[[^\]\n]*\])?)"
     r"|(?P<tag></?(?P<name>[A-Za-z][\w:-]*)(?P<attrs>(?:\s+[^<>\n]*)?)/?>)"
-    r"|(?P<nl>\n)",
-    re.S | re.M,
+    r"|(?P<nl>\n)"
 )
+_UNIT = re.compile(_PARTS, re.S | re.M)
+#: The same, and code by indentation after a blank line.
+_UNIT_INDENT = re.compile(r"(?P<indent>(?:\A|(?<=\n\n))(?:(?: {4}|\t)[^\n]*\S[^\n]*(?:\n|\Z)(?:[ \t]*\n(?= {4}|\t))*)+)|" + _PARTS, re.S | re.M)
+_INDENTED = re.compile(r"(?:\A|\n\n)(?: {4}|\t)")
 _SIGN = re.compile(
-    r"</?[A-Za-z][\w:-]*(?:\s[^<>\n]*)?/?>|<!--|&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]\w+);|\[\[[^\]\n]+\]\]|\{\{[^}\n]*\}\}|''|\*\*\S|~~\S|`[^`\n]+`|\]\([^)\n]*\)|\[\^\w+\]"
-    r"|\\(?:[A-Za-z]+|[$&%#_{}\[\]()])|(?<![\w*])\*\w[^*\n]*\w\*(?![\w*])|(?<![\w_])_\w[^_\n]*\w_(?![\w_])|(?<!\w)[*_]\w[*_](?!\w)|~\\|^#{1,6} \S|^={2,6} ?[^=\n]+={2,6} *$|^(?:```|~~~)|(?<=[^\n ])\n(?:=+|-{3,}) *$|^\$\$|^\$[^$\n]+\$ *$|^\{\||^>{1,3} \S",
+    r"(?=[<&{*~`\\_#=$>\[\]'\n])(?:</?[A-Za-z][\w:-]*(?:\s[^<>\n]*)?/?>|<!--|&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]\w+);|\[\[[^\]\n]+\]\]|\{\{[^}\n]*\}\}|''|\*\*\S|~~\S|`[^`\n]+`|\]\([^)\n]*\)|\[\^\w+\]"
+    r"|\\(?:[A-Za-z]+|[$&%#_{}\[\]()])|(?<![\w*])\*\w[^*\n]*\w\*(?![\w*])|(?<![\w_])_\w[^_\n]*\w_(?![\w_])|(?<!\w)[*_]\w[*_](?!\w)|~\\|^#{1,6} \S|^={2,6} ?[^=\n]+={2,6} *$|^(?:```|~~~)|(?<=[^\n ])\n(?:=+|-{3,}) *$|^\$\$|^\$[^$\n]+\$ *$|^\{\||^>{1,3} \S)",
     re.M,
 )
 _LISTS = re.compile(r"(?:\A|\n[ \t]*\n)(?:[*+-]|1[.)]|[#]) +\S[^\n]*(?:\n|\Z)|(?:^|\n)([*+-]|\d+[.)]) +\S[^\n]*\n(?:[*+-]|\d+[.)]) +\S")
@@ -47,8 +49,14 @@ _PREFIX = [(n, re.compile(p)) for n, p in (
 )]
 
 
+#: Every list has such a line.
+_LINE = re.compile(r"^(?:[*+#-]|\d+[.)]) +\S", re.M)
+#: Every sign has one of these.
+_ANY = re.compile(r"[<&{*~`\\_#=$>\[\]]|''|---")
+
+
 def has_markup(text: str) -> bool:
-    return bool(_SIGN.search(text) or _LISTS.search(text))
+    return bool(_ANY.search(text) and _SIGN.search(text) or _LINE.search(text) and _LISTS.search(text))
 
 
 class Block:
@@ -66,7 +74,8 @@ def blocks(text: str) -> list[Block]:
     blank = True
     fresh = True
     at = begin = 0
-    plain = _style(text) in ("m", "-")
+    indented = bool(_INDENTED.search(text)) and _style(text) in ("m", "-")
+    unit = _UNIT_INDENT if indented else _UNIT
 
     def take(a: int, b: int) -> None:
         nonlocal begin
@@ -90,7 +99,7 @@ def blocks(text: str) -> list[Block]:
 
     n = len(text)
     while at < n:
-        m = _UNIT.search(text, at)
+        m = unit.search(text, at)
         if not m:
             take(at, n)
             break
@@ -111,8 +120,8 @@ def blocks(text: str) -> list[Block]:
                 flush()
         elif m.group("fence") is not None:
             whole("fence", m.group("fenced"), m.start())
-        elif m.group("indent") is not None:
-            if plain and not stack and not "".join(buf).strip() and not (out and _ITEM.match(out[-1].text)):
+        elif indented and m.group("indent") is not None:
+            if not stack and not "".join(buf).strip() and not (out and _ITEM.match(out[-1].text)):
                 whole("indent", m.group("indent"), m.start())
                 blank = True
             else:  # a line as any other
