@@ -36,7 +36,8 @@ class Index:
 
     def stored(self) -> Index:
         """The same index with its tables written to the shared folder and its three totals known: for many queries."""
-        p, d = written(self.postings, "postings"), written(self.docs, "docs")
+        p = self.postings if hasattr(self.postings, "_written_to") else written(self.postings, "postings")
+        d = written(self.docs, "docs")
         lex = written(lexicon(p), "lexicon")
         n, tokens = d.agg(F.count("*"), F.coalesce(F.sum("term_count"), F.lit(0))).first()
         return Index(p, d, self.meta, lex, (float(n), float(lex.count()), float(tokens)))
@@ -136,11 +137,12 @@ def online_weights(postings: DataFrame, names: DataFrame) -> DataFrame:
     return p.select("doc_id", "term", "tf", (F.col("tf") * F.log((F.col("ord") - j + 0.5) / (j + 0.5))).alias("weight"), (F.col("__s") + F.col("__t0")).alias("seen"))
 
 
-def build_index(tokens: DataFrame, names: DataFrame, kind: str = "single-term", stopwords: DataFrame | None = None, chain: list[str] | None = None, phrase_len: int = 2, phrase_limit: float = 0.2, norms: bool = True) -> Index:
+def build_index(tokens: DataFrame, names: DataFrame, kind: str = "single-term", stopwords: DataFrame | None = None, chain: list[str] | None = None, phrase_len: int = 2, phrase_limit: float = 0.2, norms: bool = True, store: bool = False) -> Index:
     """An index of tokens (doc_id, pos, term, seg, final) and documents (doc_id, docno, ord).
 
     The four kinds differ in chain and positions; `chain` overrides the chain. Phrase indexes do no other normalising. Without
-    `norms` documents have no weights and no greatest tf: enough for all rankers but COSINE.
+    `norms` documents have no weights and no greatest tf: enough for all rankers but COSINE. With `store` the postings are
+    written first, and all else is made of these.
     """
     chain = chain_of(kind, stopwords is not None) if chain is None else chain
     if chain[:1] == ["phrases"]:
@@ -148,6 +150,7 @@ def build_index(tokens: DataFrame, names: DataFrame, kind: str = "single-term",
     else:
         terms = run_chain(tokens, chain, stopwords)
     p = postings_of(terms, kind == "single-term-positional")
+    p = written(p, "postings") if store else p
     return Index(p, (document_table if norms else document_lengths)(p, names), {"type": kind, "chain": chain, "phrase_len": phrase_len, "phrase_limit": phrase_limit})
 
 
@@ -157,12 +160,14 @@ def prune_hard(postings: DataFrame, p: int) -> DataFrame:
     return postings.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= p).drop("__r")
 
 
-def prune_soft(postings: DataFrame, p: float) -> DataFrame:
+def prune_soft(postings: DataFrame, p: float, most: int = 1_000_000) -> DataFrame:
     """Postings with tf of at least mean + p * deviation (of the population) of their term; if none, the highest doc_id.
-    Terms with one posting keep it."""
+    Terms with one posting keep it. Where a term has over `most` postings, such terms' figures are broadcast (with_key_stat)."""
     s = postings.groupBy("term").agg(F.avg("tf").alias("__a"), F.stddev_pop("tf").alias("__d"), F.max("tf").alias("__m"), F.max("doc_id").alias("__last"), F.count("*").alias("__n"))
     least = F.col("__a") + F.lit(p) * F.col("__d")
-    j = with_key_stat(postings, s, "term", "__n")
+    s = written(s, "figures")
+    hot = not s.filter(F.col("__n") > most).isEmpty()
+    j = with_key_stat(postings, s, "term", "__n") if hot else postings.join(s, "term")
     keep = (F.col("__n") < 2) | (F.col("tf") >= least) | ((F.col("__m") < least) & (F.col("doc_id") == F.col("__last")))
     return j.filter(keep).select(*postings.columns)
 

@@ -134,7 +134,7 @@ def score(terms: DataFrame, index: Index, engine: str | None, force: bool = Fals
     cosine_ = engine in (None, "COSINE")
     docs = index.docs.select("doc_id", F.col("term_count").cast("double").alias("term_count"), *(["norm2"] if cosine_ else []))
     p = index.postings.select("term", "doc_id", F.col("tf").cast("double").alias("tf"))
-    hits = salted_join(p, q, "term", F.col("doc_id")).join(docs, "doc_id")
+    hits = salted_join(p, q, "term", F.col("doc_id"), bound=terms).join(docs, "doc_id")
     by = [c for c in own if c == "engine"]
     norm = [F.first("norm2").alias("norm2"), F.first("__q").alias("__q")] if cosine_ else []
     s = hits.groupBy("qid", *by, "doc_id").agg(F.sum(_by_engine(engine, lambda e: RANKERS[e](t))).alias("score"), *norm)

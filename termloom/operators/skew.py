@@ -46,10 +46,10 @@ def without(rows: DataFrame, other: DataFrame, key: str, unless: Column | None =
     return kept.drop("__key", "__there")
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str, spread: Column, salts: int = 16, most: int = 100_000) -> DataFrame:
-    """many and few joined by key, where a key may hold a large part of `many`. `few` is broadcast if it has at most `most`
-    rows; else the rows of a key are spread over `salts` tasks by `spread`, and `few` is repeated as often."""
-    if small_enough(few, most):
+def salted_join(many: DataFrame, few: DataFrame, key: str, spread: Column, salts: int = 16, most: int = 100_000, bound: DataFrame | None = None) -> DataFrame:
+    """many and few joined by key, where a key may hold a large part of `many`. `few` is broadcast if it, or a table `bound` that
+    has no fewer rows and is cheaper to count, has at most `most` rows; else the rows of a key are spread over `salts` tasks by `spread`, and `few` is repeated as often."""
+    if small_enough(few if bound is None else bound, most):
         return many.join(F.broadcast(few), key)
     a = many.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     b = few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))

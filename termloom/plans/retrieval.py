@@ -18,10 +18,10 @@ def names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "docs").groupBy("doc_id").agg(F.max(F.upper(F.trim("docno"))).alias("docno"), F.min("ord").alias("ord"))
 
 
-def base_index(spark: SparkSession, d: str, positional: bool = False, norms: bool = True, chain: tuple[str, ...] | None = ("lower",)) -> I.Index:
+def base_index(spark: SparkSession, d: str, positional: bool = False, norms: bool = True, chain: tuple[str, ...] | None = ("lower",), store: bool = False) -> I.Index:
     """The stream in lower case, or by another chain (None: the default one)."""
     kind = "single-term-positional" if positional else "single-term"
-    return I.build_index(stream(spark, d), names(spark, d), kind, chain=list(chain) if chain else None, norms=norms)
+    return I.build_index(stream(spark, d), names(spark, d), kind, chain=list(chain) if chain else None, norms=norms, store=store)
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ def _top(s: DataFrame) -> DataFrame:
 
 def _rank(engine: str, positional: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        i, t = base_index(spark, d, positional, norms=engine == "COSINE").stored(), topics(spark, d)
+        i, t = base_index(spark, d, positional, norms=engine == "COSINE", store=True), topics(spark, d)
         s = R.score_positional(t, i, engine) if positional else R.score(t, i, engine)
         return _top(s)
 
@@ -183,7 +183,7 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     t, n = stream(spark, d), names(spark, d)
     kinds = {"single": "single-term", "positional": "single-term-positional", "stem": "stemmed", "phrase": "phrase"}
     t, n = written(t, "stream"), written(n, "names")
-    return search_all(table(spark, d, "topics"), {k: I.build_index(t, n, v).stored() for k, v in kinds.items()}, digits=9)
+    return search_all(table(spark, d, "topics"), {k: I.build_index(t, n, v, store=True).stored() for k, v in kinds.items()}, digits=9)
 
 
 def postings_default(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +200,7 @@ def _rank_default(engine: str, positional: bool):
     """Topics through the chain of the index."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        i = base_index(spark, d, positional, norms=engine == "COSINE", chain=None).stored()
+        i = base_index(spark, d, positional, norms=engine == "COSINE", chain=None, store=True)
         t = native_tokens(table(spark, d, "topics").select(F.trim("qid").alias("doc_id"), "text"))
         t = I.run_chain(t.select("doc_id", "pos", "term", F.lit(0).cast("long").alias("seg"), F.lit(False).alias("final")), I.chain_of("single-term"))
         t = t.select(F.col("doc_id").alias("qid"), F.row_number().over(W.partitionBy("doc_id").orderBy("pos", "sub")).alias("pos"), "term")
