@@ -120,12 +120,17 @@ def term_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def positional_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Consecutive terms of all topics: the positions of the second that are at most one beyond the last of the first, in every
-    document that has both."""
+    """Consecutive terms of all topics, and neighbours that stand together in 1 % of the documents: the positions of the second
+    that are at most one beyond the last of the first, in every document that has both. (Few topics have two known terms.)"""
     p = written(base_index(spark, d, True).postings, "postings")
     w = W.partitionBy("qid").orderBy("pos")
     pairs = topics(spark, d).select(F.col("term").alias("first"), F.lead("term").over(w).alias("second")).filter(F.col("second").isNotNull()).distinct()
-    out = R.neighbours(p, written(pairs, "pairs"))
+    w = W.partitionBy("doc_id").orderBy("pos")
+    t = stream(spark, d).select("doc_id", "pos", F.lower("term").alias("first"))
+    t = t.withColumn("second", F.lead("first").over(w)).withColumn("__p", F.lead("pos").over(w)).filter(F.col("__p") == F.col("pos") + 1)
+    n = names(spark, d).agg(F.count("*")).scalar()
+    often = t.groupBy("first", "second").agg(F.count_distinct("doc_id").alias("k")).filter(F.col("k") >= 0.01 * n).select("first", "second")
+    out = R.neighbours(p, written(pairs.unionByName(often).distinct(), "pairs"))
     return out.withColumn("positions", F.array_join(F.transform("positions", lambda x: x.cast("string")), " "))
 
 
@@ -298,7 +303,9 @@ SQL = {
     "prune_soft": f"""WITH s AS (SELECT *, avg(tf) OVER w + 1.5 * stddev_pop(tf) OVER w AS least, max(tf) OVER w AS top, max(doc_id) OVER w AS last, count(*) OVER w AS n FROM ({_POST}) WINDOW w AS (PARTITION BY term))
 SELECT term, doc_id, tf FROM s WHERE n < 2 OR tf >= least OR (top < least AND doc_id = last)""",
     "term_stats": f"{_WITH}, words AS (SELECT DISTINCT t AS term FROM (SELECT translate({_CORE}, '('')', '-') AS t FROM qr) WHERE t <> '') SELECT words.term, round(ln((tot.n - df + 0.5) / (df + 0.5)), 6) AS idf, df, tf, CASE WHEN df IS NULL THEN 'unknown term' END AS error FROM words LEFT JOIN lex USING (term), tot",
-    "positional_filter": f"""{_WITH}, pairs AS (SELECT DISTINCT first, second FROM (SELECT term AS first, lead(term) OVER (PARTITION BY qid ORDER BY pos) AS second FROM qt) WHERE second IS NOT NULL),
+    "positional_filter": f"""{_WITH}, nb AS (SELECT doc_id, pos, lower(term) AS first, lead(lower(term)) OVER w AS second, lead(pos) OVER w AS np FROM ({STREAM}) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+pairs AS (SELECT first, second FROM (SELECT term AS first, lead(term) OVER (PARTITION BY qid ORDER BY pos) AS second FROM qt) WHERE second IS NOT NULL
+  UNION SELECT first, second FROM nb WHERE np = pos + 1 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 0.01 * (SELECT n FROM tot)),
 x AS (SELECT first, second, l.doc_id, list_filter(r.positions, lambda y: y <= list_max(l.positions) + 1) AS positions FROM pairs JOIN p l ON l.term = first JOIN p r ON r.term = second AND r.doc_id = l.doc_id)
 SELECT first, second, doc_id, array_to_string(positions, ' ') AS positions FROM x WHERE len(positions) > 0""",
     **{f"rank_{e.lower()}": f"{_WITH}{_K}{_HITS}s AS (SELECT qid, doc_id, round({x}, 9) AS score FROM h, tot GROUP BY qid, doc_id) {_TOP}" for e, x in _SCORES.items()},
