@@ -56,6 +56,8 @@ Filter = Callable[[Column], Column]
 REGISTRY: dict[str, Filter] = {}
 #: Filters that also see final tokens, and keep them final.
 SEES_FINAL = {"lower", "null"}
+#: Filters that do nothing to a word of ASCII letters alone but write it in lower case; most tokens are such words.
+LEAVE_LETTERS = {"digits", "hyphens", "slashes", "acronyms", "filename", "lower", "null"}
 DEFAULT_CHAIN = ["digits", "dates", "hyphens", "slashes", "acronyms", "filename", "lower"]
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from termloom.functions.porter import stem_column
-from termloom.functions.tokens import DEFAULT_CHAIN, apply_filters, tok
+from termloom.functions.tokens import DEFAULT_CHAIN, LEAVE_LETTERS, apply_filters, tok
 from termloom.operators.dates import dates
 from termloom.operators.phrases import phrases
 from termloom.operators.skew import chunked, with_key_stat, without
@@ -56,6 +56,9 @@ def run_chain(tokens: DataFrame, chain: list[str], stopwords: DataFrame | None =
         if not group:
             return t
         out = apply_filters(F.array(tok(F.col("term"), F.col("final"))), list(group))
+        if set(group) <= LEAVE_LETTERS:
+            same = F.lower("term") if "lower" in group else F.col("term")
+            out = F.when(F.col("term").rlike("^[A-Za-z]+$"), F.array(tok(same, F.col("final")))).otherwise(out)
         rest = [c for c in t.columns if c not in ("term", "final", "__o")]
         group.clear()
         t = t.select(*rest, "__o", F.posexplode(out).alias("__s", "__t"))

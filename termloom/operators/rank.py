@@ -185,7 +185,8 @@ def match_phrases(terms: DataFrame, index: Index) -> DataFrame:
     all_ = salted_join(p, t.select("term", "qid", "__need"), "term", F.col("doc_id")).groupBy("qid", "doc_id").agg(F.count("*").alias("__n"), F.first("__need").alias("__need"))
     all_ = all_.filter(F.col("__n") == F.col("__need")).select("qid", "doc_id")
     wanted = all_.join(t.drop("__need"), "qid")
-    hits = wanted.join(index.postings.select("term", "doc_id", "positions"), ["term", "doc_id"])
+    asked = salted_join(index.postings.select("term", "doc_id", "positions"), t.select("term").distinct(), "term", F.col("doc_id"), bound=t)
+    hits = wanted.join(asked, ["term", "doc_id"])
     hits = hits.groupBy("qid", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "within", "positions"))).alias("g"))  # one entry per query token
 
     def step(acc: Column, x: Column) -> Column:
@@ -222,6 +223,37 @@ def rank(scored: DataFrame, limit: int | None = 100) -> DataFrame:
     return (r.filter(F.col("rank") <= limit) if limit else r).withColumn("rank", F.col("rank") - 1)
 
 
+def distinct_queries(terms: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    """The tokens of one query among those that ask an index the same, and (qid, __as): whose tokens stand for those of qid.
+
+    Queries ask the same if their known terms are the same as often, on a positional index in the same order with as many
+    unknown ones between, and `engine` and `force` are, where terms have them. Those without a known term have no answer
+    and are in neither.
+    """
+    own = [c for c in ("engine", "force") if c in terms.columns]
+    known = index.lexicon().select("term", F.lit(True).alias("__k"))
+    if index.positional:
+        t = terms.withColumn("__i", F.row_number().over(W.partitionBy("qid").orderBy("pos"))).join(known, "term")
+        t = t.withColumn("__i", F.col("__i") - F.min("__i").over(W.partitionBy("qid")))
+        key = F.struct("__i", "term")
+    else:
+        t, key = terms.join(known, "term"), F.col("term")
+    t = t.groupBy("qid", *own).agg(F.sort_array(F.collect_list(key)).alias("__asked"))
+    same = written(t.select("qid", F.min("qid").over(W.partitionBy("__asked", *own)).alias("__as")), "same")
+    return terms.join(same.filter(F.col("qid") == F.col("__as")).select("qid"), "qid", "left_semi"), same
+
+
+def best(terms: DataFrame, index: Index, engine: str | None, limit: int | None = 100, digits: int | None = None) -> DataFrame:
+    """(qid, doc_id, score, rank): the best documents of each query by score or score_positional, rounded to `digits` before
+    they are ranked. Queries that ask the same are answered once, and their `limit` documents repeated for each."""
+    asked, same = distinct_queries(terms, index)
+    s = (score_positional if index.positional else score)(asked, index, engine)
+    if digits is not None:
+        s = s.withColumn("score", F.round("score", digits))
+    r = rank(s, limit).withColumnRenamed("qid", "__as")
+    return same.join(r, "__as").select("qid", "doc_id", "score", "rank")
+
+
 def extend_unique(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """left and those rows of right whose keys left doesn't have; repeated rows of right stay."""
     return left.unionByName(right.join(left.select(*keys).distinct(), keys, "left_anti").select(*left.columns))

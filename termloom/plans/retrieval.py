@@ -21,7 +21,7 @@ def names(spark: SparkSession, d: str) -> DataFrame:
 def base_index(spark: SparkSession, d: str, positional: bool = False, norms: bool = True, chain: tuple[str, ...] | None = ("lower",), store: bool = False) -> I.Index:
     """The stream in lower case, or by another chain (None: the default one)."""
     kind = "single-term-positional" if positional else "single-term"
-    return I.build_index(stream(spark, d), names(spark, d), kind, chain=list(chain) if chain else None, norms=norms, store=store)
+    return I.build_index(stream(spark, d, together=store), names(spark, d), kind, chain=list(chain) if chain else None, norms=norms, store=store)
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
@@ -134,16 +134,15 @@ def positional_filter(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("positions", F.array_join(F.transform("positions", lambda x: x.cast("string")), " "))
 
 
-def _top(s: DataFrame) -> DataFrame:
+def _top(t: DataFrame, i: I.Index, engine: str) -> DataFrame:
     """The client's 100 best; scores are rounded before ranking, as sums differ in their last places."""
-    return R.rank(s.withColumn("score", F.round("score", 9)), 100)
+    return R.best(t, i, engine, 100, 9)
 
 
 def _rank(engine: str, positional: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
         i, t = base_index(spark, d, positional, norms=engine == "COSINE", store=True), topics(spark, d)
-        s = R.score_positional(t, i, engine) if positional else R.score(t, i, engine)
-        return _top(s)
+        return _top(t, i, engine)
 
     return run
 
@@ -209,7 +208,7 @@ def _rank_default(engine: str, positional: bool):
         t = native_tokens(table(spark, d, "topics").select(F.trim("qid").alias("doc_id"), "text"))
         t = I.run_chain(t.select("doc_id", "pos", "term", F.lit(0).cast("long").alias("seg"), F.lit(False).alias("final")), I.chain_of("single-term"))
         t = t.select(F.col("doc_id").alias("qid"), F.row_number().over(W.partitionBy("doc_id").orderBy("pos", "sub")).alias("pos"), "term")
-        return _top((R.score_positional if positional else R.score)(t, i, engine))
+        return _top(t, i, engine)
 
     return run
 

@@ -18,9 +18,11 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-def stream(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, pos, term, seg, final) of the token stream: one row per place that has a text."""
+def stream(spark: SparkSession, d: str, together: bool = False) -> DataFrame:
+    """(doc_id, pos, term, seg, final) of the token stream: one row per place that has a text. With `together` the tokens of a
+    document are in one task, so that what is counted per document or per term of a document isn't shuffled again."""
     t = table(spark, d, "tokens").filter((F.col("tok_type") == "Text") & F.col("text").isNotNull())
+    t = t.select("doc_id", "pos", "text", "phrase_id", "is_final").repartition("doc_id") if together else t
     return t.groupBy("doc_id", "pos").agg(F.min("text").alias("term"), F.max("phrase_id").cast("long").alias("seg"), F.max(F.coalesce("is_final", F.lit(False))).alias("final"))
 
 

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.functions import tokens as T
 from termloom.functions.tokens import native_tokens
 from termloom.operators import index as I, rank as R
 from termloom.operators.search import search
@@ -143,3 +144,27 @@ def test_stream_append(spark, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert {(r.term, r.tf) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("cats", 2), ("and", 1)}
+
+
+def test_queries_that_ask_the_same_are_answered_once(spark, golden):
+    """Were each answered by itself, the hits of a table of queries would grow with its rows times the documents."""
+    words = {"a": "the cdc", "b": "the CDC", "c": "nowhere the cdc", "d": "the nowhere cdc", "e": "cdc the", "f": "the", "g": "the the", "h": "nowhere"}
+    t = spark.createDataFrame([(q, i, w.lower()) for q, x in words.items() for i, w in enumerate(x.split())], "qid string, pos int, term string")
+    single = I.Index(golden.postings.drop("positions"), golden.docs, golden.meta)
+    as_ = lambda i, t=t: {r.qid: r["__as"] for r in R.distinct_queries(t, i)[1].collect()}
+    assert as_(golden) == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "f", "g": "g"}
+    assert as_(single) == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "a", "f": "f", "g": "g"}
+    assert as_(golden, t.withColumn("engine", F.when(F.col("qid") == "b", "LM").otherwise("BM25")).withColumn("force", F.col("qid") == "c")) == {"a": "a", "b": "b", "c": "c", "d": "d", "e": "e", "f": "f", "g": "g"}
+    for i, f in ((golden, R.score_positional), (single, R.score)):
+        for engine in R.RANKERS:
+            each = {(r.qid, r.doc_id, round(r.score, 9), r["rank"]) for r in R.rank(f(t, i, engine).withColumn("score", F.round("score", 9)), 1).collect()}
+            assert each and {(r.qid, r.doc_id, round(r.score, 9), r["rank"]) for r in R.best(t, i, engine, 1, 9).collect()} == each
+
+
+def test_plain_words_pass_the_chain_as_they_would_the_filters(spark):
+    words = ["Word", "word", "CDC", "Ph.D", "F-16", "A/B", "x.pdf", "1,000", "Éa", "a_b", "-", "", None]
+    t = spark.createDataFrame([(1, i, w, 0, f) for f in (False, True) for i, w in enumerate(words, 100 * f)], "doc_id long, pos int, term string, seg long, final boolean")
+    for chain in (["digits"], ["hyphens", "slashes"], ["hyphens", "slashes", "acronyms", "filename", "lower"], ["null"]):
+        out = T.apply_filters(F.array(T.tok(F.col("term"), F.col("final"))), chain)
+        plain = {(r.pos, r.s, r.t.text, r.t.final) for r in t.select("pos", F.posexplode(out).alias("s", "t")).collect()}
+        assert {(r.pos, r["sub"][-1], r.term, r.final) for r in I.run_chain(t, chain).collect()} == plain
