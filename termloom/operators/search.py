@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from termloom.functions.markup_tokens import tokenize
 from termloom.operators.index import Index, run_chain
-from termloom.operators.rank import fall_back, rank, score, score_positional, threshold_terms
+from termloom.operators.rank import best, fall_back, threshold_terms
 from termloom.session import written
 
 
@@ -35,9 +35,7 @@ def search(queries: DataFrame, indexes: dict[str, Index], limit: int = 100, digi
         terms = threshold_terms(query_terms(mine, index), index)
         terms = terms.join(mine.select("qid", "engine", (F.col("force") | (F.col("__last") == tag)).alias("force")), "qid")
         terms = written(terms.select("qid", F.row_number().over(W.partitionBy("qid").orderBy("pos")).alias("pos"), "term", "engine", "force"), "terms")  # used several times below
-        s = (score_positional if index.positional else score)(terms, index, None)
+        s = best(terms, index, None, limit, digits)  # more of an index can't be in the result
         parts.append(written(s.join(index.docs.select("doc_id", "docno"), "doc_id").withColumn("source", F.lit(tag)), "answers"))
-    if digits is not None:
-        parts = [p.withColumn("score", F.round("score", digits)) for p in parts]
     answers = fall_back(q.select("qid", "index_pref"), reduce(DataFrame.unionByName, parts))
-    return rank(answers, limit).select("qid", "doc_id", "docno", "rank", "score", "source")
+    return answers.select("qid", "doc_id", "docno", "rank", "score", "source")

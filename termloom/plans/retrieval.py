@@ -186,8 +186,11 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     """All topics on four indexes with their own engine, threshold, force and preferences."""
     t, n = stream(spark, d), names(spark, d)
     kinds = {"single": "single-term", "positional": "single-term-positional", "stem": "stemmed", "phrase": "phrase"}
-    t, n = written(t, "stream"), written(n, "names")
-    return search_all(table(spark, d, "topics"), {k: I.build_index(t, n, v, store=True).stored() for k, v in kinds.items()}, digits=9)
+    t, n = written(t, "stream").repartition("doc_id"), written(n, "names")
+    built = {k: I.build_index(t, n, v, store=True).stored() for k, v in kinds.items() if k != "single"}
+    p = built["positional"]  # of the same chain, so all but the positions is the same
+    built["single"] = I.Index(p.postings.drop("positions"), p.docs, p.meta | {"type": kinds["single"]}, p.lex, p.counts)
+    return search_all(table(spark, d, "topics"), built, digits=9)
 
 
 def postings_default(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import tokens as T
 from termloom.functions.tokens import native_tokens
-from termloom.operators import index as I, rank as R
+from termloom.operators import index as I, rank as R, search as S
 from termloom.operators.search import search
 from termloom.sources import messages, trec
 
@@ -168,3 +168,11 @@ def test_plain_words_pass_the_chain_as_they_would_the_filters(spark):
         out = T.apply_filters(F.array(T.tok(F.col("term"), F.col("final"))), chain)
         plain = {(r.pos, r.s, r.t.text, r.t.final) for r in t.select("pos", F.posexplode(out).alias("s", "t")).collect()}
         assert {(r.pos, r["sub"][-1], r.term, r.final) for r in I.run_chain(t, chain).collect()} == plain
+
+
+def test_search_keeps_no_more_than_its_limit_of_an_index(spark, golden, monkeypatch):
+    kept = []
+    monkeypatch.setattr(S, "written", lambda df, name: (kept.append(df.count()) if name == "answers" else None) or df)
+    q = spark.createDataFrame([(x, "the", "BM25", "positional", True, 1.0) for x in "ab"], "qid string, text string, engine string, index_pref string, force boolean, query_thresh double")
+    assert sorted((r.qid, r["rank"]) for r in search(q, {"positional": golden}, limit=1).collect()) == [("a", 0), ("b", 0)]
+    assert kept == [2]  # both documents have the word
